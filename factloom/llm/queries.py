@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import media, sentencepieces, token_counts
+from . import chat, decontaminate, media, pii, sentencepieces, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_media_columns": media.op4_media_columns,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE,
+    "op8_chat_formatting": chat.ORACLE,
+}
