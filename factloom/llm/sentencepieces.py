@@ -30,6 +30,7 @@ PAIR_LIMIT = 2_000_000
 #: A chunk ends before a run of word marks; no piece holds a mark after another character (checked on loading).
 CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 COMMIT_EVERY = 64
+ONE = (1,)
 
 
 def default_model() -> str:
@@ -65,6 +66,21 @@ class PieceCodec:
         tied = {s for s in self.score.values() if s <= -1e9}
         self.regular = {p for p, (x, y) in self.halves.items() if self.score[p] not in tied and all(len(h) < 2 or self.score[h] > self.score[p] for h in (x, y))}
         self.regular = {p for p in self.regular if all(len(h) < 2 or h in self.regular for h in self.halves[p])}
+        ends: dict[str, set[int]] = {}
+        for piece in self.halves:
+            if len(piece) > 1:
+                ends.setdefault(piece[-2:], set()).add(len(piece))
+        #: Sizes of the pieces that end with two characters, long ones first; one character is a piece of its own.
+        self.sizes = {end: (*sorted(found, reverse=True), 1) for end, found in ends.items()}
+        #: What each id decodes to; bytes beyond ASCII as escapes, which are put together at the end.
+        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        for i in range(n):
+            if i in self.byte_of:
+                self.shown[i] = bytes([self.byte_of[i]]).decode("ascii", "surrogateescape")
+            elif i == self.unknown:
+                self.shown[i] = " ⁇ "
+            elif i in self.hidden:
+                self.shown[i] = ""
         self.stable_pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
 
@@ -119,7 +135,7 @@ class PieceCodec:
     def segments(self, blocks):
         """Yields the pieces of a stream of text blocks as they become final."""
         text, last = "", [""]  # the window, and for each of its prefixes the last piece (None: no path)
-        longest, ids, pairs, stable = self.longest, self.halves, self.stable_pairs, self.stable
+        longest, ids, sizes, pairs, stable = self.longest, self.halves, self.sizes, self.stable_pairs, self.stable
         for block in blocks:
             i = len(text)
             text += block
@@ -127,7 +143,9 @@ class PieceCodec:
             while i < n:
                 i += 1
                 piece = None
-                for size in range(min(longest, i), 0, -1):
+                for size in sizes.get(text[i - 2 : i], ONE) if i > 1 else ONE:
+                    if size > i:
+                        continue
                     piece = text[i - size : i]
                     if size > 1 and piece not in ids:
                         continue
@@ -196,20 +214,11 @@ class PieceCodec:
         return b"".join(out)
 
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i not in self.hidden:
-                out.append(self.pieces[i] if i != self.unknown else " ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = "".join(map(self.shown.__getitem__, ids))
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
