@@ -28,8 +28,13 @@ BROADCAST_ROWS = 1_000_000
 def shingles(text: Column, n: int = WORDS) -> Column:
     """Hashes of the text's n-word shingles (with repeats)."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    own = F.when(F.size(words) == 0, F.array().cast("array<bigint>")).when(F.size(words) < n, F.array(F.xxhash64(words)))
-    return own.otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n))))
+
+    def hashed(w: Column) -> Column:
+        own = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < n, F.array(F.xxhash64(w)))
+        return own.otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+
+    # Bound as a lambda's variable, the words are split once per text; written out, once per shingle.
+    return F.element_at(F.transform(F.array(words), hashed), 1)
 
 
 def item_table(items: DataFrame, key: str = "item_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -51,7 +56,6 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     table = materialize(item_table(items, item_key, item_text, percent))
     size = table.count()
     sketch = table.where("rank <= k").select("item_id", "h", (F.least("k", "n") - (F.col("n") - F.col("need"))).alias("hits"))
-    # One explode whose generator is the whole expression: the words are split once per document.
     every = docs.select(F.col(f"`{key}`").alias("doc_id"), F.explode(shingles(F.col(f"`{text}`"))).alias("h"))
     found = every.join(_hinted(sketch, size), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("got"), F.first("hits").alias("hits"))
     candidates = materialize(found.where("got >= hits").select("doc_id", "item_id"))
