@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, pii, sentencepieces, token_counts, toxicity
+from . import chat, decontaminate, jaccard, media, pii, sentencepieces, token_counts, toxicity
 
 QUERIES = {
     "op1_sentencepieces": sentencepieces.op1_sentencepieces,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_personal_data": pii.op3_personal_data,
     "op4_media_columns": media.op4_media_columns,
     "op5_decontamination": decontaminate.op5_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": jaccard.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op8_chat_formatting": chat.ORACLE,
 }
