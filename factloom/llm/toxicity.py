@@ -278,26 +278,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 _shared: dict = {}
 
 
+def _scored(model: dict, texts: list) -> list[tuple[float, int]]:
+    """(calibrated score, guessed language) of each text."""
+    vocabulary, out = _shared.setdefault("vocabulary", Vocabulary()), []
+    for begin in range(0, len(texts), SLICE):
+        found = [vocabulary.indexes(t) for t in texts[begin : begin + SLICE]]
+        guessed = [vocabulary.language(i) for i in found]
+        raw = raw_scores(model, [vocabulary.rows[i] for i in found])
+        out += [(calibrated(float(p), model["limits"][g]), g) for p, g in zip(raw, guessed, strict=True)]
+        vocabulary.trim()
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted, language (guessed): one row per input row."""
     kind = docs.schema[key].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(keys, texts):
-        own, vocabulary = sent.value, _shared.setdefault("vocabulary", Vocabulary())
-        scores, languages = [], []
-        for begin in range(0, len(texts), SLICE):
-            found = [vocabulary.indexes(t) for t in texts[begin : begin + SLICE]]
-            guessed = [vocabulary.language(i) for i in found]
-            raw = raw_scores(own, [vocabulary.rows[i] for i in found])
-            scores += [calibrated(float(p), own["limits"][g]) for p, g in zip(raw, guessed, strict=True)]
-            languages += [LANGUAGES[g] for g in guessed]
-            vocabulary.trim()
-        return [keys, [fold(k, 3) == 1 for k in keys], scores, [int(s >= DECISION) for s in scores], languages]
+        found = _scored(sent.value, texts)
+        return [keys, [fold(k, 3) == 1 for k in keys], [p for p, _ in found], [int(p >= DECISION) for p, _ in found], [LANGUAGES[g] for _, g in found]]
 
     return map_rows(docs, [key, text], f"`{key}` {kind}, held_out boolean, score double, predicted int, language string", run)
 
 
+def tag(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The input with a column __toxic (0 or 1): the decision on each row, without a join."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), names.index(text)
+    return map_rows(docs, names, f"{schema}, __toxic int", lambda *columns: [*columns, [int(s >= DECISION) for s, _ in _scored(sent.value, columns[at])]])
+
+
 def op9_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
