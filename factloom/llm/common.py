@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that one Arrow batch sent to a Python worker may hold; long texts make batches short.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: Lower-cases A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -93,7 +93,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound that keeps a worker's memory flat."""
 
-    LIMIT = 1_500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -7,8 +7,8 @@ of a group:
    over the corpus; a set that could link must share enough of them, the rest go.
 2. What is left counts all its shingles; a set that shares fewer than three quarters goes. Shingles are
    ordered by frequency, then hash, and only a set's first size - T + 1 are keys: linked sets share one.
-3. Sets meet the smallest set of each of their keys, in blocks of bounded size. In a block those that link
-   to its first set join it; the others ask the block's inverted index: short lists are merged by a heap,
+3. Sets meet the smallest set of their keys (that of most keys), in blocks of bounded size. In a block those
+   that link to its first set join it; the others ask the block's inverted index: short lists are merged by a heap,
    long ones probed by bisection, candidates that reach the needed overlap are checked and joined.
 4. Keys whose sets lie in different components are searched again in full, in pairs of bounded pieces;
    pieces of one component skip each other.
@@ -245,7 +245,9 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     """Edges (a, b) between sets that connect every two linked ones; cand has sid, n, shared, keys."""
     keys = cand.select("sid", F.explode("keys").alias("token"))
     lowest = keys.groupBy("token").agg(F.min("sid").alias("first_sid"), F.max("sid").alias("last")).where("first_sid <> last").select("token", "first_sid")
-    meets = materialize(keys.join(lowest, "token").where("sid <> first_sid").select("sid", "first_sid").distinct())
+    # Each set meets the one first set that it shares most keys with; what that leaves apart is searched below.
+    shared_keys = keys.join(lowest, "token").where("sid <> first_sid").groupBy("sid", "first_sid").agg(F.count("*").alias("k"))
+    meets = materialize(shared_keys.groupBy("sid").agg(F.min(F.struct((-F.col("k")).alias("k"), "first_sid")).alias("m")).select("sid", "m.first_sid"))
     parts = meets.groupBy("first_sid").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = meets.join(parts, "first_sid").select("sid", F.col("first_sid").alias("block"), F.pmod(F.xxhash64("sid"), "parts").alias("part"), F.lit(False).alias("first"))
     heads = parts.select(F.col("first_sid").alias("sid"), F.col("first_sid").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"))
