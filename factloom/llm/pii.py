@@ -35,7 +35,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"\S+")
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 150_000
 
 
 def luhn(digits: str) -> bool:

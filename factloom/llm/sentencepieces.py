@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from .common import load, map_rows
 
 SPACE = "▁"
-MEMO_LIMIT, MEMO_CHARS = 1_000_000, 40
-PAIR_LIMIT = 2_000_000
+MEMO_LIMIT, MEMO_CHARS = 300_000, 40
+PAIR_LIMIT = 300_000
 #: A chunk ends before a run of word marks; no piece holds a mark after another character (checked on loading).
 CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 COMMIT_EVERY = 64

@@ -20,7 +20,7 @@ from .common import load, map_rows, text_bytes
 
 #: Fixed values of the public byte-level BPE format: the pre-token pattern (white space as the Unicode property).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO_LIMIT, MEMO_BYTES = 1_000_000, 48
+MEMO_LIMIT, MEMO_BYTES = 400_000, 48
 TOKEN_LIMIT = 512
 
 

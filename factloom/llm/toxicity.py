@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import fold, load, map_rows
 
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 2500
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 12, 8, (1, 2)
 PREFIXES = (3, 4, 5, 6, 7)
 EPOCHS, BATCH, RATE = 6, 32, 0.08
 DECISION = 0.7
 POOL = 2
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 150_000
 SLICE = 64
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -170,6 +170,7 @@ def train(texts: list, labels: list[int], seed: int = 7) -> dict:
     found = [vocabulary.indexes(t) for t in texts]
     languages = [vocabulary.language(i) for i in found]
     docs = [vocabulary.rows[i] for i in found]
+    vocabulary.clear()
     held = np.array([zlib.crc32(f"calibrate:{n}".encode()) % 5 == 0 for n in range(len(docs))])
     if len(set(y[~held])) < 2:
         held[:] = False
