@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from factloom.plans import graphs, relational  # noqa: F401
+from factloom.plans import graphs, merges, relational  # noqa: F401
