@@ -10,8 +10,9 @@ of a group:
 3. Sets meet the smallest set of their keys (that of most keys), in blocks of bounded size. In a block those
    that link to its first set join it; the others ask the block's inverted index: short lists are merged by a heap,
    long ones probed by bisection, candidates that reach the needed overlap are checked and joined.
-4. Keys whose sets lie in different components are searched again in full, in pairs of bounded pieces;
-   pieces of one component skip each other.
+4. Keys whose sets lie in different components are searched again in full: families of sets that such keys
+   connect at once if they are small, else key by key in pairs of bounded pieces; pieces of one component
+   skip each other.
 
 Null and empty texts have no shingles and link with nothing; texts of any length are read whole; with
 fewer than five words the whole sequence is the one shingle; repeated rows are equal sets, each gets its
@@ -38,6 +39,8 @@ from .exchange import bucket_bits, bucket_bounds, frozen, requests, settled, sta
 WORDS, PERCENT = 5, 75
 #: Sets in a block at most (besides the first).
 BLOCK = 256
+#: Sets that are searched as one family at most; larger families are searched key by key, in pieces.
+FAMILY = 512
 #: Rows of (id, sid) that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 _words = WordHashes()
@@ -259,9 +262,17 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     roots = connected_components(near)
     owned = keys.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("group"))
     owned = materialize(owned)
-    lists = owned.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"))
-    lists = lists.where("low <> high").groupBy("size", "mark").agg(F.min("token").alias("token")).select("token", "size")
-    open_ = owned.join(lists.select("token", F.ceil(F.col("size") / BLOCK).alias("parts")), "token")
+    lists = owned.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"), F.min("sid").alias("first_sid"))
+    lists = materialize(lists.where("low <> high").groupBy("size", "mark").agg(F.min(F.struct("token", "first_sid")).alias("m")).select("size", "m.token", "m.first_sid"))
+    # Sets that such keys connect are a family; a family of bounded size is searched at once, each set sent once.
+    open_sets = owned.join(lists, "token").select("token", "sid", "group", "first_sid", "size")
+    family = connected_components(open_sets.select(F.col("sid").alias("a"), F.col("first_sid").alias("b"))).withColumnRenamed("node", "sid")
+    kin = materialize(family.join(family.groupBy("root").agg(F.count("*").alias("members")), "root"))
+    small = kin.where(F.col("members") <= FAMILY).select("sid", "root")
+    rows = small.join(sets, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("own")), "sid", "left")
+    rows = rows.select("sid", "n", "shared", F.coalesce("own", "sid").alias("group"), F.lit(False).alias("first"), "root")
+    within = materialize(rows.groupBy("root").applyInArrow(_search, "a long, b long"))
+    open_ = open_sets.join(kin.where(F.col("members") > FAMILY).select("sid"), "sid", "left_semi").select("token", "sid", "group", F.ceil(F.col("size") / BLOCK).alias("parts"))
     # A piece holds whole groups where they are small, and a slice of one group where it is large.
     piece = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("group"), "parts"))
     placed = open_.select("token", "sid", "group", piece.alias("p"))
@@ -275,7 +286,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     right = placed.withColumnRenamed("piece", "piece2").join(pairs.where("piece <> piece2"), ["token", "piece2"]).select("token", "piece", "piece2", "sid", "group")
     rows = left.unionByName(right).withColumn("first", F.lit(False)).join(sets, "sid")
     rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a long, b long"))
-    return near.unionByName(rest)
+    return near.unionByName(within).unionByName(rest)
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -89,9 +89,10 @@ def _near_copies(seed, groups=6, size=14):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_groups_are_those_of_all_pairs(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "family"), [(1, 3), (2, 512)])
+def test_jaccard_groups_are_those_of_all_pairs(spark, seed, family, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "FAMILY", family)
     texts = _near_copies(seed)
     sets = {}
     for i, t in enumerate(texts):
