@@ -19,12 +19,12 @@ INCLUDE = r'(?m)^[ \t]*#[ \t]*include[ \t]*([<"][^>"\n]+[>"])'
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """Rows path, text, is_header of a tree's C and C++ files, by suffix."""
+    """Rows path, text, is_header of a tree's C and C++ files, by suffix (S1). Spark's scans leave out empty files."""
     glob = "*.{" + ",".join((*SOURCES, *HEADERS)) + "}"
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(root)
-    path = F.col("_metadata.file_path")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    path = F.col("path")
     suffix = F.lower(F.substring_index(path, ".", -1))
-    return rows.select(F.regexp_replace(path, "^file:/+", "/").alias("path"), F.col("value").alias("text"), suffix.isin(*HEADERS).alias("is_header"))
+    return rows.select(F.regexp_replace(path, "^file:/+", "/").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), suffix.isin(*HEADERS).alias("is_header"))
 
 
 def include_edges(files: DataFrame, search: list[str] | None = None) -> DataFrame:
