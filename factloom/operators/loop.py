@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows.
@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut() and the number of rows, observed while they are written: no second job counts them."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if its counted rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -42,14 +49,13 @@ def grow(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame
 
     Returns all rows and the number of rounds. limit bounds the rounds.
     """
-    known = delta = cut(start.dropDuplicates(keys))
-    rounds, total = 0, known.count()
+    known, total = cut_counted(start.dropDuplicates(keys))
+    delta, rounds = known, 0
     new = total
     while new and (limit is None or rounds < limit):
         rounds += 1
         found = step(hinted(delta, new), known, rounds).dropDuplicates(keys)
-        delta = cut(found.join(hinted(known.select(*keys), total), keys, "left_anti"))
-        new = delta.count()
+        delta, new = cut_counted(found.join(hinted(known.select(*keys), total), keys, "left_anti"))
         total += new
         if new:
             known = cut(compact(known.unionByName(delta), total)) if rounds % 4 == 0 else known.unionByName(delta)
