@@ -11,8 +11,8 @@ of a group:
    that link to its first set join it; the others ask the block's inverted index: short lists are merged by a heap,
    long ones probed by bisection, candidates that reach the needed overlap are checked and joined.
 4. Keys whose sets lie in different components are searched again in full: families of sets that such keys
-   connect at once if they are small, else key by key in pairs of bounded pieces; pieces of one component
-   skip each other.
+   connect at once if they are small, else in pairs of bounded pieces (the largest families key by key); pieces
+   of one component skip each other.
 
 Null and empty texts have no shingles and link with nothing; texts of any length are read whole; with
 fewer than five words the whole sequence is the one shingle; repeated rows are equal sets, each gets its
@@ -39,8 +39,9 @@ from .exchange import bucket_bits, bucket_bounds, frozen, requests, settled, sta
 WORDS, PERCENT = 5, 75
 #: Sets in a block at most (besides the first).
 BLOCK = 256
-#: Sets that are searched as one family at most; larger families are searched key by key, in pieces.
-FAMILY = 512
+#: Sets that are searched as one family at most; families of up to WIDE sets are searched in pairs of pieces, larger
+#: ones key by key, each key's sets in pairs of pieces.
+FAMILY, WIDE = 384, 16_384
 #: Rows of (id, sid) that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 _words = WordHashes()
@@ -272,10 +273,14 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     rows = small.join(sets, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("own")), "sid", "left")
     rows = rows.select("sid", "n", "shared", F.coalesce("own", "sid").alias("group"), F.lit(False).alias("first"), "root")
     within = materialize(rows.groupBy("root").applyInArrow(_search, "a long, b long"))
-    open_ = open_sets.join(kin.where(F.col("members") > FAMILY).select("sid"), "sid", "left_semi").select("token", "sid", "group", F.ceil(F.col("size") / BLOCK).alias("parts"))
+    mine = roots.select(F.col("node").alias("sid"), F.col("root").alias("own"))
+    middle = kin.where(F.col("members").between(FAMILY + 1, WIDE)).join(mine, "sid", "left").select(F.col("root").alias("token"), "sid", F.coalesce("own", "sid").alias("group"))
+    open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select("token", "sid", "group"))
     # A piece holds whole groups where they are small, and a slice of one group where it is large.
-    piece = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("group"), "parts"))
-    placed = open_.select("token", "sid", "group", piece.alias("p"))
+    held = open_.groupBy("token", "group").agg(F.count("*").alias("k"))
+    held = held.join(held.groupBy("token").agg(F.sum(F.when(F.col("k") <= BLOCK, F.col("k")).otherwise(0)).alias("few")), "token")
+    piece = F.when(F.col("k") > BLOCK, -1 - F.pmod(F.xxhash64("group"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("group"), F.greatest(F.ceil(F.col("few") / BLOCK), F.lit(1))))
+    placed = open_.join(held.select("token", "group", piece.alias("p")), ["token", "group"])
     sizes = placed.groupBy("token", "p").agg(F.ceil(F.count("*") / BLOCK).alias("slices"))
     placed = placed.join(sizes, ["token", "p"]).select("token", "sid", "group", F.struct("p", F.pmod(F.xxhash64("sid"), "slices").alias("s")).alias("piece"))
     placed = materialize(placed)

@@ -89,10 +89,11 @@ def _near_copies(seed, groups=6, size=14):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "family"), [(1, 3), (2, 512)])
-def test_jaccard_groups_are_those_of_all_pairs(spark, seed, family, monkeypatch):
+@pytest.mark.parametrize(("seed", "family", "wide"), [(1, 3, 6), (2, 3, 1000), (3, 512, 512)])
+def test_jaccard_groups_are_those_of_all_pairs(spark, seed, family, wide, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "FAMILY", family)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
     texts = _near_copies(seed)
     sets = {}
     for i, t in enumerate(texts):
