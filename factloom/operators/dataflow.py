@@ -116,3 +116,36 @@ def cross_context(nodes: DataFrame, sets: DataFrame, self_concurrent: DataFrame)
     own = nodes.select("node", "fn").distinct().join(sets, "fn").join(self_concurrent.select(F.col("id").alias("context"), F.lit(1).alias("twice")), "context", "left")
     by = own.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_set("context")), lambda x: x.cast("string")), ",").alias("contexts"), F.countDistinct("context").alias("k"), F.max("twice").alias("twice"))
     return by.select("node", "contexts", ((F.col("k") > 1) | F.col("twice").isNotNull()).alias("crosses"))
+
+
+def sharing(nodes: DataFrame) -> DataFrame:
+    """Rows id, sharing: a constant, private to one function's locals, or shared (Q23). nodes: id, kind, var_kind."""
+    kind = F.when(F.col("kind").isin("constant", "call_target"), "constant").when(F.col("var_kind").isin("local", "param"), "private").otherwise("shared")
+    return nodes.select("id", kind.alias("sharing"))
+
+
+def dataflow_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, document: the graph as JSON, nodes and edges in order (Q16). nodes: id, label, level; edges: a, b, operation."""
+    n = nodes.agg(F.sort_array(F.collect_list(F.struct("id", "label", "level"))).alias("nodes"))
+    e = edges.agg(F.sort_array(F.collect_list(F.struct(F.col("a").alias("from"), F.col("b").alias("to"), "operation"))).alias("edges"))
+    return n.join(F.broadcast(e), F.lit(True)).select(F.to_json(F.struct("nodes", "edges")).alias("document"))
+
+
+def assignment_target(text: Column) -> Column:
+    """What stands left of an assignment, without comments and text literals; null if there is none (Q14)."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"/\*(?s:.*?)\*/|//[^\n]*", " "), r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "0")
+    left = F.trim(F.regexp_extract(plain, r"^([^=;{}]*?)\s*(?:<<|>>|[-+*/%&|^])?=(?!=)", 1))
+    return F.when((left != "") & ~left.rlike(r"[!<>]$"), left)
+
+
+def slice_start(facts_like: dict[str, DataFrame], file_id: int, line: int, col: int) -> DataFrame:
+    """Node ids a position may mean: variables there, arguments and fields of calls there.
+
+    facts_like: name -> rows id, file_id, line, col, width. A hit covers the column; of several the nearest start counts.
+    """
+    out = None
+    for rank, (name, df) in enumerate(facts_like.items()):
+        hit = df.where((F.col("file_id") == file_id) & (F.col("line") == line) & (F.col("col") <= col) & (F.lit(col) < F.col("col") + F.col("width")))
+        rows = hit.select("id", (F.lit(col) - F.col("col")).alias("off"), F.lit(rank).alias("rank"), F.lit(name).alias("meaning"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("id").agg(F.min(F.struct("off", "rank", "meaning")).alias("m")).select("id", F.col("m.off").cast("long").alias("off"), F.col("m.meaning").alias("meaning"))

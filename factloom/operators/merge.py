@@ -158,3 +158,27 @@ def broken_references(facts, keys: list[tuple[str, str, str]]) -> DataFrame:
         rows = lost.select(F.lit(relation).alias("relation"), F.lit(column).alias("reference"), F.col(column).cast("long").alias("value"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def unify_targets(targets: DataFrame) -> DataFrame:
+    """Link targets of all inputs by name and kind, with the union of their sources (M4). targets: db_idx, name, kind, source."""
+    return targets.groupBy("name", "kind").agg(F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+
+
+def rebind_ipc(edges: DataFrame, bindings: DataFrame) -> DataFrame:
+    """IPC edges once for each function that a caller became (M15). bindings: caller_fn_id, bound."""
+    rows = edges.where("resolution = 'ipc'").join(bindings, "caller_fn_id", "left")
+    return rows.select("id", F.coalesce("bound", "caller_fn_id").alias("caller_fn_id"), "callee_fn_id").distinct()
+
+
+def merged_diagnostics(diagnostics: DataFrame, conflicts_found: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """All inputs' diagnostics, each once, and the merge's own warnings."""
+    own = diagnostics.select("stage", "severity", "path", "line", "message").distinct()
+    nowhere = lambda df, text: df.select(F.lit("merge").alias("stage"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit(0).cast("long").alias("line"), F.concat(F.lit(text), F.col("name")).alias("message")).distinct()
+    return own.unionByName(nowhere(conflicts_found, "several strong definitions: ")).unionByName(nowhere(unresolved, "no definition: "))
+
+
+def suppress_weak(bodies: DataFrame) -> DataFrame:
+    """Bodies of a name within a target without the weak ones that a strong one replaces (M18). bodies: name, target_id, is_weak."""
+    strong = F.min("is_weak").over(W.partitionBy("name", "target_id"))
+    return bodies.withColumn("__least", strong).where("is_weak = __least or __least is null").drop("__least")

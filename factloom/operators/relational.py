@@ -332,3 +332,13 @@ def indirect_return_callees(facts: FactSet) -> DataFrame:
     """Distinct callees of indirect sites."""
     s = facts["call_sites"].where("is_direct = 0").select(F.col("id").alias("call_site_id"))
     return facts["call_edges"].join(s, "call_site_id").select("call_site_id", "callee_fn_id").distinct()
+
+
+def without_noise(sites: DataFrame, patterns: list[str]) -> DataFrame:
+    """Call sites whose text matches none of the noise patterns."""
+    return sites.where(~matches_any(F.col("callee_text"), patterns)) if patterns else sites
+
+
+def coverage(arms: DataFrame) -> DataFrame:
+    """Rows path, arms, taken, share in whole percent (X12). arms: path, taken (0 or 1)."""
+    return arms.groupBy("path").agg(F.count("*").alias("arms"), F.sum("taken").alias("taken")).withColumn("percent", F.floor(100 * F.col("taken") / F.col("arms")))

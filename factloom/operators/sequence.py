@@ -162,3 +162,20 @@ def inline(events: DataFrame, calls: DataFrame, root: int, depth: int, max_frame
         level = step.select(F.col("callee").alias("cfg_id"), F.col("e").alias("event"), F.lit(d).alias("depth"), kind.alias("boundary"), F.concat("above", F.array("callee")).alias("above"))
         out = out.unionByName(level)
     return out.orderBy("depth", "event", "cfg_id").limit(max_frames).select("cfg_id", "event", "depth", "boundary")
+
+
+def events_at(events: DataFrame, sites: DataFrame, file_id: int, line: int) -> DataFrame:
+    """Events whose call is spelled or expanded at a line (Q24). events: event, call_site_id."""
+    spelled = sites.where((F.col("file_id") == file_id) & (F.col("line") == line)).select(F.col("id").alias("call_site_id"))
+    expanded = sites.where((F.col("expansion_file_id") == file_id) & (F.col("expansion_line") == line)).select(F.col("id").alias("call_site_id"))
+    return events.join(spelled.union(expanded).distinct(), "call_site_id", "left_semi")
+
+
+def between(relations: DataFrame, cfg_id: int, first: int, last: int) -> DataFrame:
+    """Events of a graph that may run after first and before last (Q30, scope between)."""
+    own = relations.where(F.col("cfg_id") == cfg_id)
+    ahead = ("sequenced_before", "guaranteed_before", "may_precede", "may_both")
+    behind = ("may_follow", "may_both")
+    later = own.where((F.col("a") == first) & F.col("relation").isin(*ahead)).select(F.col("b").alias("event")).union(own.where((F.col("b") == first) & F.col("relation").isin(*behind)).select(F.col("a").alias("event")))
+    earlier = own.where((F.col("b") == last) & F.col("relation").isin(*ahead)).select(F.col("a").alias("event")).union(own.where((F.col("a") == last) & F.col("relation").isin(*behind)).select(F.col("b").alias("event")))
+    return later.intersect(earlier).distinct()

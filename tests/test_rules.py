@@ -57,3 +57,12 @@ def test_layout_is_reverse_postorder():
 def test_flow_graph_of_nothing(spark):
     none = spark.createDataFrame([], "src_node long, dst_node long, kind string")
     assert export.flow_graph(none, none, none, none).count() == 0
+
+
+def test_events_between_and_documents(spark):
+    from factloom.operators import dataflow
+
+    r = spark.createDataFrame([(1, 10, 20, "sequenced_before"), (1, 20, 30, "may_precede"), (1, 10, 30, "guaranteed_before"), (1, 10, 40, "exclusive")], "cfg_id long, a long, b long, relation string")
+    assert rows(sequence.between(r, 1, 10, 30), "event") == [(20,)]
+    n, e = spark.createDataFrame([(2, "b", 1), (1, "a", 0)], "id long, label string, level int"), spark.createDataFrame([(1, 2, "assign")], "a long, b long, operation string")
+    assert dataflow.dataflow_json(n, e).first().document == '{"nodes":[{"id":1,"label":"a","level":0},{"id":2,"label":"b","level":1}],"edges":[{"from":1,"to":2,"operation":"assign"}]}'
