@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from factloom.plans import flows, graphs, merges, more, relational, sources  # noqa: F401
+from factloom.plans import flows, graphs, merges, more, relational, solving, sources  # noqa: F401
