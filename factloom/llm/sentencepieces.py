@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import load, map_rows
 
 SPACE = "▁"
-MEMO_LIMIT, MEMO_CHARS = 300_000, 40
+MEMO_LIMIT, MEMO_CHARS, MEMO_WHOLE = 400_000, 40, 14
 PAIR_LIMIT = 300_000
 #: A chunk ends before a run of word marks; no piece holds a mark after another character (checked on loading).
 CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
@@ -66,6 +66,8 @@ class PieceCodec:
         tied = {s for s in self.score.values() if s <= -1e9}
         self.regular = {p for p, (x, y) in self.halves.items() if self.score[p] not in tied and all(len(h) < 2 or self.score[h] > self.score[p] for h in (x, y))}
         self.regular = {p for p in self.regular if all(len(h) < 2 or h in self.regular for h in self.halves[p])}
+        #: Neighbouring characters within pieces; between any two others no merge ever crosses, so text may be cut there.
+        self.inside = {p[i : i + 2] for p in self.halves for i in range(len(p) - 1)}
         ends: dict[str, set[int]] = {}
         for piece in self.halves:
             if len(piece) > 1:
@@ -198,21 +200,42 @@ class PieceCodec:
         """Ids as the machine's 32-bit integers, one after the other."""
         if not text:
             return b""
+        plain_spaces = text.count(" ")
         text = SPACE + text.replace(" ", SPACE)
         if not self.split_at_marks:
             return self.chunk(text)
         memo, out = self.memo, []
-        for part in CHUNKS(text):
+        single = SPACE + SPACE not in text and text.count(SPACE) == plain_spaces + 1 and text[-1] != SPACE
+        for part in [SPACE + w for w in text[1:].split(SPACE)] if single else CHUNKS(text):
             ids = memo.get(part)
             if ids is None:
-                ids = self.chunk(part)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_LIMIT:
-                        memo.clear()
-                    memo[part] = ids
+                ids = self.cut_chunk(part)
             out.append(ids)
         return b"".join(out)
 
+    def cut_chunk(self, part: str) -> bytes:
+        """Ids of a chunk, part by part where no piece can cross; short parts are remembered."""
+        inside, memo = self.inside, self.memo
+        cuts = [0, *(i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside), len(part)]
+        out = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = part[i:j]
+            ids = memo.get(piece)
+            if ids is None:
+                ids = self.chunk(piece)
+                if j - i <= MEMO_CHARS:
+                    self.remember(piece, ids)
+            out.append(ids)
+        ids = b"".join(out)
+        if len(cuts) > 2 and len(part) <= MEMO_WHOLE:
+            self.remember(part, ids)
+        return ids
+
+    def remember(self, part: str, ids: bytes) -> None:
+        if len(self.memo) >= MEMO_LIMIT:
+            self.memo.clear()
+        self.memo[part] = ids
+
     def decode(self, ids) -> str:
         text = "".join(map(self.shown.__getitem__, ids))
         try:
