@@ -1,0 +1 @@
+"""No streams: the engine works on immutable snapshots of facts."""
