@@ -308,8 +308,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def whole(batches):
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "shared"])
+            made = ((sid, shingle_set(t)) for sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            rows = [(sid, s.tobytes()) for sid, s in made if len(s) and set_id(s) == sid]  # one id may stand by several texts
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "shared"])
 
     picked = rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("sid", "text")
     sets = materialize(picked.mapInArrow(whole, "sid long, shared binary"))

@@ -107,6 +107,14 @@ def test_jaccard_groups_are_those_of_all_pairs(spark, seed, family, wide, monkey
     assert kept == set(want.values())
 
 
+def test_one_id_by_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_groups(df).collect())
+    assert got == [(0, 5), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
 def test_divide_skip_finds_what_counting_finds():
     r = random.Random(3)
     for _ in range(30):
