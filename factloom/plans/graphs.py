@@ -157,6 +157,11 @@ def q35_waves(f):
 _CONSTRAINTS = "c AS (SELECT kind, dst_node AS dst, src_node AS src FROM flow_edges WHERE kind IN ('copy', 'load', 'store', 'addr_of') AND src_node % 60 = 0)"
 
 
+def _points_to(edges):
+    c = edges.where("kind in ('copy', 'load', 'store', 'addr_of')")
+    return S.solve(c.select("kind", F.col("dst_node").alias("dst"), F.col("src_node").alias("src"), F.lit(None).cast("long").alias("field"))).facts
+
+
 @facts_query(
     "f2_f5_points_to",
     f"""WITH {_CONSTRAINTS}, f(t, x, o, z) USING KEY (t, x, o) AS (
@@ -165,8 +170,7 @@ _CONSTRAINTS = "c AS (SELECT kind, dst_node AS dst, src_node AS src FROM flow_ed
        UNION SELECT 'p', c.dst, m.o, 0 FROM recurring.f p JOIN c ON c.kind = 'load' AND c.src = p.x JOIN recurring.f m ON m.t = 'm' AND m.x = p.o WHERE p.t = 'p'
        UNION SELECT 'm', p.o, v.o, 0 FROM recurring.f p JOIN c ON c.kind = 'store' AND c.dst = p.x JOIN recurring.f v ON v.t = 'p' AND v.x = c.src WHERE p.t = 'p'))
     SELECT t, x, o FROM f""",
-    "flow_edges", recursive=True,
+    "flow_edges", recursive=True, whole=lambda f: _points_to(f["flow_edges"]),
 )
 def f2(f):
-    c = f["flow_edges"].where("kind in ('copy', 'load', 'store', 'addr_of') and src_node % 60 = 0")
-    return S.solve(c.select("kind", F.col("dst_node").alias("dst"), F.col("src_node").alias("src"), F.lit(None).cast("long").alias("field"))).facts
+    return _points_to(f["flow_edges"].where("src_node % 60 = 0"))

@@ -122,14 +122,20 @@ ADAPTER = {
     "includes": """select cast(n_nationkey as bigint) src, cast((n_nationkey * 3 + 1) % 25 as bigint) dst from {nation} where n_nationkey % 4 <> 3
         union select cast(n_nationkey as bigint), cast(floor(n_nationkey / 2) as bigint) from {nation} where n_nationkey > 0""",
 }
+#: Relations of which ADAPTER keeps a part, from every row of their tables; only for queries without SQL.
+WHOLE = {
+    "flow_edges": """select distinct l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
+        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind from {lineitem}""",
+}
 BASE = "region nation customer supplier part orders lineitem events".split()
 
 
-def adapt(spark: SparkSession, sf_dir: str) -> FactSet:
-    """The facts that ADAPTER makes of the driver's tables, lazily."""
+def adapt(spark: SparkSession, sf_dir: str, whole: bool = False) -> FactSet:
+    """The facts that ADAPTER makes of the driver's tables, lazily; whole takes the relations of WHOLE instead of the cut ones."""
     made: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
     out = {}
     for name, text in ADAPTER.items():
+        text = WHOLE.get(name, text) if whole else text
         used = {t: made[t] for t in made if "{" + t + "}" in text}
         made[name] = spark.sql(text, **used)
         if name != "raw_sites":
