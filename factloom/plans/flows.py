@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from factloom.operators import dataflow as D
 from factloom.operators import sequence as Q
 from factloom.plans.registry import facts_query
-from factloom.sources.facts import ADAPTER
+from factloom.sources.facts import ADAPTER, WHOLE
 
 ADAPTER["cfg_edges"] = """select distinct user_id % 60 cfg_id, event_id % 7 src, (event_id * 3 + user_id) % 7 dst from {events} where event_id % 25 = 0
     union select distinct user_id % 60, cast(0 as bigint), event_id % 7 from {events} where event_id % 50 = 7"""
 ADAPTER["cfg_events"] = "select user_id % 60 cfg_id, event_id event, event_id % 7 block, event_id % 4 ordinal from {events} where event_id % 40 = 0"
 ADAPTER["cfg_calls"] = "select event_id event, case when event_id % 3 = 0 then cast(null as bigint) else (event_id * 7) % 70 end callee from {events} where event_id % 40 = 0"
+#: One graph a user, of all their events: function-sized, however many users there are. Control enters at the first event.
+WHOLE["cfg_edges"] = """select distinct user_id cfg_id, event_id % 7 src, (event_id * 3 + user_id) % 7 dst from {events}
+    union select user_id, cast(0 as bigint), min(event_id) % 7 from {events} group by user_id"""
+WHOLE["cfg_events"] = "select user_id cfg_id, event_id event, event_id % 7 block, event_id % 4 ordinal from {events}"
+WHOLE["cfg_calls"] = "select event_id event, case when event_id % 3 = 0 then cast(null as bigint) else (event_id * 7) % (select max(user_id) + 10 from {events}) end callee from {events}"
 CFG = ("cfg_edges", "cfg_events")
 
 _REACH = """reach(cfg_id, a, b) AS (SELECT cfg_id, src, dst FROM cfg_edges UNION SELECT r.cfg_id, r.a, e.dst FROM reach r JOIN cfg_edges e ON e.cfg_id = r.cfg_id AND e.src = r.b),
@@ -28,12 +33,20 @@ _RELATE = """rel AS (SELECT x.cfg_id, x.event AS a, y.event AS b,
   LEFT JOIN dom d ON d.cfg_id = x.cfg_id AND d.b = y.block AND d.d = x.block)"""
 
 
-@facts_query("q25_event_relations", f"WITH {_REACH}, {_RELATE} SELECT * FROM rel", *CFG, recursive=True)
-def q25(f):
+def _relations(f):
     return Q.event_relations(f["cfg_events"], f["cfg_edges"])
 
 
-@facts_query("q26_dominators", f"WITH {_REACH} SELECT cfg_id, b AS block, d AS dominator FROM dom", *CFG, recursive=True)
+def _combined(f):
+    return Q.combined(_relations(f).withColumn("k", F.col("a") % 80), ["cfg_id", "k"])
+
+
+@facts_query("q25_event_relations", f"WITH {_REACH}, {_RELATE} SELECT * FROM rel", *CFG, recursive=True, whole=_relations)
+def q25(f):
+    return _relations(f)
+
+
+@facts_query("q26_dominators", f"WITH {_REACH} SELECT cfg_id, b AS block, d AS dominator FROM dom", *CFG, recursive=True, whole=lambda f: Q.dominator_pairs(f["cfg_edges"]))
 def q26(f):
     return Q.dominator_pairs(f["cfg_edges"])
 
@@ -44,13 +57,13 @@ def q26(f):
     SELECT cfg_id, k, CASE WHEN len(r) = 1 THEN r[1] WHEN list_contains(r, 'unknown') THEN 'unknown' WHEN len(list_filter(r, lambda x: x NOT IN ('sequenced_before', 'guaranteed_before'))) = 0 THEN 'guaranteed_before'
       WHEN list_has_any(r, ['sequenced_before', 'guaranteed_before', 'may_precede', 'may_both', 'unordered']) AND list_has_any(r, ['may_follow', 'may_both', 'unordered']) THEN 'may_both'
       WHEN list_has_any(r, ['sequenced_before', 'guaranteed_before', 'may_precede', 'may_both', 'unordered']) THEN 'may_precede' WHEN list_has_any(r, ['may_follow', 'may_both', 'unordered']) THEN 'may_follow' ELSE 'exclusive' END AS relation FROM s""",
-    *CFG, recursive=True,
+    *CFG, recursive=True, whole=_combined,
 )
 def q28(f):
-    return Q.combined(Q.event_relations(f["cfg_events"], f["cfg_edges"]).withColumn("k", F.col("a") % 80), ["cfg_id", "k"])
+    return _combined(f)
 
 
-@facts_query("q31_unordered_runs", "SELECT cfg_id, block, ordinal, list(event ORDER BY event) AS events FROM cfg_events GROUP BY 1, 2, 3 HAVING count(*) > 1", *CFG)
+@facts_query("q31_unordered_runs", "SELECT cfg_id, block, ordinal, list(event ORDER BY event) AS events FROM cfg_events GROUP BY 1, 2, 3 HAVING count(*) > 1", *CFG, whole=lambda f: Q.unordered_runs(f["cfg_events"]))
 def q31(f):
     return Q.unordered_runs(f["cfg_events"])
 
@@ -62,7 +75,7 @@ def q31(f):
       SELECT c.callee, e.event, f.depth + 1, CASE WHEN c.callee IS NULL THEN 'unknown_callee' WHEN list_contains(f.above, c.callee) THEN 'recursion' WHEN b.cfg_id IS NULL THEN 'omitted_body' END, list_append(f.above, c.callee)
       FROM fr f JOIN cfg_events e ON e.cfg_id = f.cfg_id JOIN cfg_calls c ON c.event = e.event LEFT JOIN body b ON b.cfg_id = c.callee WHERE f.boundary IS NULL AND f.depth < 3)
     SELECT cfg_id, event, depth, boundary FROM fr ORDER BY depth, event NULLS FIRST, cfg_id NULLS FIRST LIMIT 32""",
-    "cfg_events", "cfg_calls", recursive=True,
+    "cfg_events", "cfg_calls", recursive=True, whole=lambda f: Q.inline(f["cfg_events"], f["cfg_calls"], 20, 3),
 )
 def q29(f):
     return Q.inline(f["cfg_events"], f["cfg_calls"], 20, 3)

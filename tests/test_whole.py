@@ -47,3 +47,15 @@ def test_points_to_solves_every_flow_edge(spark, tables):
             if k == "store":
                 facts |= {("m", o, v) for x, o in p if x == d for y, v in p if y == s}
     assert set(rows(registry.QUERIES["f2_f5_points_to_whole"](spark, tables), "t", "x", "o")) == facts
+
+
+def test_every_event_is_in_the_graph_of_its_user(spark, tables):
+    by: dict = {}
+    for event, user in EVENTS:
+        by.setdefault(user, []).append(event)
+    pairs = sorted((u, a, b) for u, own in by.items() for a in own for b in own if a < b)
+    assert rows(registry.QUERIES["q25_event_relations_whole"](spark, tables), "cfg_id", "a", "b") == pairs
+    assert {u for u, *_ in rows(registry.QUERIES["q26_dominators_whole"](spark, tables), "cfg_id", "block")} == set(by)
+    assert {k for k in rows(registry.QUERIES["q28_combined_relations_whole"](spark, tables), "cfg_id", "k")} == {(u, a % 80) for u, a, _ in pairs}
+    assert registry.QUERIES["q31_unordered_runs_whole"](spark, tables).count() == 0
+    assert sorted(r.event for r in adapt(spark, tables, whole=True)["cfg_calls"].collect()) == [e for e, _ in EVENTS]
