@@ -137,23 +137,35 @@ _CONTEXTS = """WITH e AS (SELECT src AS a, dst AS b FROM includes), c AS (SELECT
   ro(fn) AS (SELECT id FROM roots UNION SELECT e.b FROM ro JOIN e ON e.a = ro.fn), sets AS (SELECT fn, context FROM st UNION SELECT fn, 0 FROM ro)"""
 
 
-def _sets(f):
+def _sets(f, contexts):
     e = f["includes"].select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    c = f["execution_contexts"].where("id < 4").select("id", (F.col("id") * 4 % 25).alias("entry"))
-    return D.context_sets(c, e, f["files"])
+    return D.context_sets(contexts.select("id", "entry"), e, f["files"])
 
 
-@facts_query("q21_context_sets", f"{_CONTEXTS} SELECT fn, context FROM sets", "files", "includes", "execution_contexts", recursive=True)
+def _crossing(f, contexts):
+    nodes = f["variables"].select(F.col("id").alias("node"), F.col("file_id").alias("fn"))
+    return D.cross_context(nodes, _sets(f, contexts), contexts.where("self_concurrent = 1").select("id"))
+
+
+def _first_contexts(f):
+    return f["execution_contexts"].where("id < 4").withColumn("entry", F.col("id") * 4 % 25)
+
+
+def _contexts(f):
+    """Every context, its id one up: 0 is the context of the roots."""
+    return f["execution_contexts"].select((F.col("id") + 1).alias("id"), (F.col("id") * 4 % 25).alias("entry"), "self_concurrent")
+
+
+@facts_query("q21_context_sets", f"{_CONTEXTS} SELECT fn, context FROM sets", "files", "includes", "execution_contexts", recursive=True, whole=lambda f: _sets(f, _contexts(f)))
 def q21(f):
-    return _sets(f)
+    return _sets(f, _first_contexts(f))
 
 
 @facts_query(
     "q22_cross_context",
     f"""{_CONTEXTS} SELECT v.id AS node, string_agg(DISTINCT CAST(s.context AS VARCHAR), ',' ORDER BY CAST(s.context AS VARCHAR)) AS contexts, count(DISTINCT s.context) > 1 OR max(CASE WHEN s.context = 1 THEN 1 END) IS NOT NULL AS crosses
     FROM variables v JOIN sets s ON s.fn = v.file_id GROUP BY 1""",
-    "files", "includes", "execution_contexts", "variables", recursive=True,
+    "files", "includes", "execution_contexts", "variables", recursive=True, whole=lambda f: _crossing(f, _contexts(f)),
 )
 def q22(f):
-    nodes = f["variables"].select(F.col("id").alias("node"), F.col("file_id").alias("fn"))
-    return D.cross_context(nodes, _sets(f), f["execution_contexts"].where("id < 4 and self_concurrent = 1").select("id"))
+    return _crossing(f, _first_contexts(f))

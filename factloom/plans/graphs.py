@@ -142,16 +142,19 @@ def q35(f):
     return G.reachable(f["includes"].select(F.col("src").alias("a"), F.col("dst").alias("b")), f["files"].where("id = 5").select("id"))
 
 
+def _waves(includes, files):
+    return G.waves(includes.select(F.col("src").alias("a"), F.col("dst").alias("b")), files)
+
+
 @facts_query(
     "q35_index_waves",
     """WITH e AS (SELECT DISTINCT src, dst FROM includes WHERE src > dst AND src % 3 <> 0 AND dst % 3 <> 0),
     w(id, d) AS (SELECT id, 0 FROM files WHERE id % 3 <> 0 UNION SELECT i.src, w.d + 1 FROM w JOIN e i ON i.dst = w.id)
     SELECT id, CAST(max(d) AS BIGINT) AS wave FROM w GROUP BY id""",
-    "files", "includes", recursive=True,
+    "files", "includes", recursive=True, whole=lambda f: _waves(f["includes"], f["files"]),
 )
 def q35_waves(f):
-    e = f["includes"].where("src > dst and src % 3 <> 0 and dst % 3 <> 0")
-    return G.waves(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), f["files"].where("id % 3 <> 0"))
+    return _waves(f["includes"].where("src > dst and src % 3 <> 0 and dst % 3 <> 0"), f["files"].where("id % 3 <> 0"))
 
 
 _CONSTRAINTS = "c AS (SELECT kind, dst_node AS dst, src_node AS src FROM flow_edges WHERE kind IN ('copy', 'load', 'store', 'addr_of') AND src_node % 60 = 0)"

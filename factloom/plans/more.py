@@ -56,9 +56,13 @@ def m4(f):
     return M.unify_targets(rows.select("db_idx", F.concat(F.lit("t"), "target_id").alias("name"), F.col("linkage").alias("kind"), F.col("path").alias("source")))
 
 
-@facts_query("m15_rebound_ipc_edges", "SELECT DISTINCT e.id, coalesce(f.id, e.caller_fn_id) AS caller_fn_id, e.callee_fn_id FROM call_edges e LEFT JOIN functions f ON f.id % 50 = e.caller_fn_id AND f.id < 150 WHERE e.resolution = 'ipc'", "call_edges", "functions")
+def _rebound(f, bound, callers):
+    return M.rebind_ipc(f["call_edges"], bound.select((F.col("id") % callers).alias("caller_fn_id"), F.col("id").alias("bound")))
+
+
+@facts_query("m15_rebound_ipc_edges", "SELECT DISTINCT e.id, coalesce(f.id, e.caller_fn_id) AS caller_fn_id, e.callee_fn_id FROM call_edges e LEFT JOIN functions f ON f.id % 50 = e.caller_fn_id AND f.id < 150 WHERE e.resolution = 'ipc'", "call_edges", "functions", whole=lambda f: _rebound(f, f["functions"], f["execution_contexts"].count()))
 def m15(f):
-    return M.rebind_ipc(f["call_edges"], f["functions"].where("id < 150").select((F.col("id") % 50).alias("caller_fn_id"), F.col("id").alias("bound")))
+    return _rebound(f, f["functions"].where("id < 150"), 50)
 
 
 @facts_query(

@@ -59,3 +59,28 @@ def test_every_event_is_in_the_graph_of_its_user(spark, tables):
     assert {k for k in rows(registry.QUERIES["q28_combined_relations_whole"](spark, tables), "cfg_id", "k")} == {(u, a % 80) for u, a, _ in pairs}
     assert registry.QUERIES["q31_unordered_runs_whole"](spark, tables).count() == 0
     assert sorted(r.event for r in adapt(spark, tables, whole=True)["cfg_calls"].collect()) == [e for e, _ in EVENTS]
+
+
+def test_every_function_context_file_and_binding_takes_part(spark, tables):
+    n = 400
+    value = {i: {(("call", "var", "heap")[i % 3], (i * 5 + 2) % n if i % 3 == 0 else i + 7)} | ({("call", i * 7 % n)} if i % 10 == 1 else set()) for i in range(n)}
+    returned = set()
+    for own in value:
+        seen, todo = {own}, [own]
+        while todo:
+            for kind, v in value[todo.pop()]:
+                if kind != "call":
+                    returned.add((own, kind, v))
+                elif v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+    assert set(rows(registry.QUERIES["f14_expanded_returns_whole"](spark, tables), "fn_id", "kind", "value")) == returned and max(r[0] for r in returned) == n - 1
+    q = registry.QUERIES
+    assert {c for _, c in rows(q["q21_context_sets_whole"](spark, tables), "fn", "context")} >= set(range(1, 11))
+    assert any("10" in r.contexts.split(",") for r in q["q22_cross_context_whole"](spark, tables).collect())
+    waves = {r.id: r.wave for r in q["q35_index_waves_whole"](spark, tables).collect()}
+    includes = {(a, b) for a, b in rows(adapt(spark, tables)["includes"], "src", "dst") if a != b}
+    assert set(waves) == set(range(25))
+    assert all(waves[a] is None or waves[b] is not None and waves[b] < waves[a] for a, b in includes)
+    ipc = adapt(spark, tables)["call_edges"].where("resolution = 'ipc'").collect()
+    assert set(rows(q["m15_rebound_ipc_edges_whole"](spark, tables), "id", "caller_fn_id")) == {(e.id, i) for e in ipc for i in range(n) if i % 10 == e.caller_fn_id}
