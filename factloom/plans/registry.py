@@ -25,14 +25,15 @@ def query(name: str, oracle: str | None = None) -> Callable:
 def facts_query(name: str, select: str | None = None, *relations: str, recursive: bool = False, whole: Callable | None = None) -> Callable:
     """Registers fn(facts) over the adapted driver tables; select is its SQL over the same relations.
 
-    whole(facts) is registered as name_whole, over whole tables and without SQL, where fn and its SQL take a part.
+    Where these relations are cut, so that DuckDB gets through them, name_whole is fn over whole tables, without SQL.
+    whole(facts) stands in for an fn that cuts by itself.
     """
-    from factloom.sources.facts import adapt, with_facts
+    from factloom.sources.facts import adapt, is_cut, with_facts
 
     def add(fn: Callable) -> Callable:
         query(name, with_facts(select, *relations, recursive=recursive) if select else None)(lambda spark, sf_dir: fn(adapt(spark, sf_dir)))
-        if whole:
-            query(f"{name}_whole")(lambda spark, sf_dir: whole(adapt(spark, sf_dir, whole=True)))
+        if whole or any(is_cut(r) for r in relations):
+            query(f"{name}_whole")(lambda spark, sf_dir: (whole or fn)(adapt(spark, sf_dir, whole=True)))
         return fn
 
     return add

@@ -124,8 +124,15 @@ ADAPTER = {
 }
 #: Relations of which ADAPTER keeps a part, from every row of their tables; only for queries without SQL.
 WHOLE = {
+    "raw_sites": """select l_orderkey * 8 + l_linenumber id, min(l_partkey) caller_fn_id, min(l_suppkey) s, min(l_linenumber) n, min(l_returnflag) r
+        from {lineitem} group by l_orderkey, l_linenumber""",
     "flow_edges": """select distinct l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
         case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind from {lineitem}""",
+    "flow_origins": """select l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
+        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind,
+        l_partkey % 25 file_id, l_suppkey + 1 line from {lineitem}""",
+    "arg_flow_edges": """select id call_site_id, n arg_index, case when s % 3 = 0 then cast(null as bigint) else s end actual_var, case when s % 3 = 0 then caller_fn_id end actual_fn, caller_fn_id % 100 formal_var
+        from {raw_sites}""",
 }
 BASE = "region nation customer supplier part orders lineitem events".split()
 
@@ -143,6 +150,11 @@ def adapt(spark: SparkSession, sf_dir: str, whole: bool = False) -> FactSet:
     return FactSet(out)
 
 
+def is_cut(name: str) -> bool:
+    """Whether ADAPTER makes the relation of a part of its table's rows."""
+    return name in WHOLE or any(is_cut(other) for other in ADAPTER if "{" + other + "}" in ADAPTER[name])
+
+
 def with_facts(select: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL: the named relations (and what they are made of) as common tables, then the select."""
     wanted: list[str] = []

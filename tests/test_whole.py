@@ -84,3 +84,14 @@ def test_every_function_context_file_and_binding_takes_part(spark, tables):
     assert all(waves[a] is None or waves[b] is not None and waves[b] < waves[a] for a, b in includes)
     ipc = adapt(spark, tables)["call_edges"].where("resolution = 'ipc'").collect()
     assert set(rows(q["m15_rebound_ipc_edges_whole"](spark, tables), "id", "caller_fn_id")) == {(e.id, i) for e in ipc for i in range(n) if i % 10 == e.caller_fn_id}
+
+
+def test_every_line_is_a_site_and_a_flow_edge(spark, tables):
+    lines = {(o, n) for o in range(12) for n in range(1, 8)}
+    f, q = adapt(spark, tables, whole=True), registry.QUERIES
+    assert set(rows(f["call_sites"], "id")) == {(o * 8 + n,) for o, n in lines} and f["flow_edges"].select("src_node", "kind").distinct().count() == 12 * 6
+    assert f["flow_origins"].count() == len(lines) and f["arg_flow_edges"].count() == len(lines)
+    edges = {(o * 8 + n,) for o, n in lines if not (o % 2 == 0 and n % 2 == 0)}  # indirect sites of even ids stay unresolved
+    assert set(rows(f["call_edges"].where("call_site_id is not null"), "call_site_id")) == edges
+    assert set(rows(q["j4_unresolved_sites_whole"](spark, tables), "id")) == set(rows(f["call_sites"], "id")) - edges
+    assert q["q1_calls_whole"](spark, tables).count() == f["call_edges"].count()
