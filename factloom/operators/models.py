@@ -15,17 +15,26 @@ BUILTIN = [
     ("memcpy_s memmove_s strcpy_s strncpy_s strcat_s strncat_s", "mem_copy", 0, 2, None),
     ("memset memset_s", "clears", 0, None, None),
     ("malloc calloc zalloc kmalloc OsalMemAlloc OsalMemCalloc", "return_heap", None, None, None),
+    ("realloc", "return_alias", 0, None, None),
+    ("realloc", "return_heap", None, None, None),
     ("epoll_ctl", "epoll_register", 3, None, None),
     ("epoll_wait epoll_pwait epoll_pwait2", "epoll_wait", 1, None, None),
-    ("dlsym", "dlsym", 1, None, None),
+    ("dlsym dlvsym GetProcAddress", "dlsym", 1, None, None),
     ("pthread_create OsalTimerCreate", "invoke", 2, 3, "thread"),
     ("HdfWorkInit HdfDelayedWorkInit", "invoke", 1, 2, "serial_task"),
     ("ffrt::submit ffrt::submit_h ffrt_submit_base ffrt_submit_h_base OHOS::ThreadPool::AddTask", "invoke", 0, None, "pool_task"),
     ("ffrt::queue::submit ffrt::queue::submit_h OHOS::Utils::Timer::Register", "invoke", 0, None, "serial_task"),
     ("ffrt_queue_submit ffrt_queue_submit_h", "invoke", 1, None, "serial_task"),
     ("std::thread::thread std::jthread::jthread", "invoke", 0, 1, "thread"),
+    ("std::async", "invoke", 0, 1, "thread"),
+    ("std::async", "invoke", 1, 2, "thread"),
+    (" ".join(f"OHOS::AppExecFwk::EventHandler::Post{m}" for m in ("Task", "ImmediateTask", "HighPriorityTask", "IdleTask", "SyncTask", "TimingTask", "TaskAtFront")), "invoke", 0, None, "serial_task"),
     ("OHOS::Thread::Run", "entry", None, None, "thread"),
+    ("OHOS::AppExecFwk::EventHandler::ProcessEvent", "entry", None, None, "serial_task"),
+    ("OHOS::IRemoteObject::DeathRecipient::OnRemoteDied", "entry", None, None, "ipc_handler"),
 ]
+#: Names of which an effect counts only as the first argument is a launch policy (its callable comes second) or is none.
+POLICY = ("std::async", "std::launch")
 #: Effects of which only the exact name counts (also behind :: or std::).
 EXACT = ("alias", "mem_copy", "content_store", "epoll_register", "epoll_wait", "clears", "return_alias", "return_heap")
 KINDS = (*EXACT, "dlsym", "invoke", "entry", "ipc")
@@ -105,8 +114,22 @@ def epoll_copies(effects: DataFrame, actuals: DataFrame) -> DataFrame:
     return put.unionByName(get).distinct().withColumn("field", F.lit(None).cast("long"))
 
 
-def callbacks(effects: DataFrame, actuals: DataFrame, points_to: DataFrame) -> DataFrame:
-    """Rows call_site_id, callee, context: functions that modelled callees run (F27). points_to: node, loc (functions only)."""
+def launched(effects: DataFrame, first_class: DataFrame) -> DataFrame:
+    """Effects without those of std::async that its first argument rules out. first_class: call_site_id, class (of argument 0)."""
+    name, policy = POLICY
+    is_async = F.col("callee").rlike(f"(^|::){name.rsplit('::', 1)[-1]}$") & (F.col("effect") == "invoke")
+    given = first_class.where(F.regexp_replace("class", "^::", "") == policy).select("call_site_id", F.lit(True).alias("policy")).distinct()
+    rows = effects.join(given, "call_site_id", "left")
+    return rows.where(~is_async | (F.col("a") == F.when(F.col("policy"), 1).otherwise(0))).drop("policy")
+
+
+def callbacks(effects: DataFrame, actuals: DataFrame, points_to: DataFrame, first_class: DataFrame | None = None) -> DataFrame:
+    """Rows call_site_id, callee, context: functions that modelled callees run (F27). points_to: node, loc (functions only).
+
+    first_class as in launched(); without it a callable counts in either place of std::async.
+    """
+    if first_class is not None:
+        effects = launched(effects, first_class)
     arg = actuals.select("call_site_id", F.col("arg_index").alias("a"), "node")
     return effects.where("effect = 'invoke'").join(arg, ["call_site_id", "a"]).join(points_to, "node").select("call_site_id", F.col("loc").alias("callee"), "context").distinct()
 
