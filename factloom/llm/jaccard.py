@@ -296,6 +296,11 @@ def similar_sets(cand: DataFrame) -> DataFrame:
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach, itself included): one row per input row."""
+    return _grouped(docs, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of jaccard_groups with sid, the id of the text's set (null: no words), and root, a set of its component."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bits = bucket_bits(input_parts(rows))
     scan = materialize(scan_sets(rows, bits))
@@ -320,18 +325,40 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = connected_components(similar_sets(cand))
 
     grouped = lowest.join(roots.withColumnRenamed("node", "sid"), "sid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = roots.join(grouped, "root").select(F.col("node").alias("sid"), "component_id")
-    every = lowest.join(by_set, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_set = roots.join(grouped, "root").select(F.col("node").alias("sid"), "root", "component_id")
+    every = lowest.join(by_set, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
     every = every.where("sid is not null")
-    return numbered.join(every, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return numbered.join(every, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid", "root")
+
+
+def _with_sets(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __sid, the id of each text's set."""
+    at, schema = docs.columns.index(text), docs.withColumn("__sid", F.lit(None).cast("long")).schema
+
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "__sid"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each group: that with the smallest id (of repeated ids one row); null ids stay."""
-    groups = jaccard_groups(docs, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key])
-    kept = named.join(groups, F.col(f"`{key}`").cast("long") == F.col("__kept"), "left_semi")
-    return kept.unionByName(docs.where(F.col(f"`{key}`").isNull()))
+    """The documents with one of each group: that with the smallest id, of several texts by it that with the smallest set id; null ids stay.
+
+    Of rows with one id and one set, the least by their columns in order stays.
+    """
+    rows = materialize(_grouped(docs, key, text).where("doc_id is not null").select("doc_id", "sid", "root"))
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("m")).select("m.doc_id", "m.sid")
+    chosen = first.unionByName(rows.where("root is null").select("doc_id", "sid").distinct()).select(F.col("doc_id").alias("__kept"), F.col("sid").alias("__set"))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("__many"))
+    chosen, repeated = materialize(chosen), materialize(repeated)
+    number = F.col(f"`{key}`").cast("long")
+    single = docs.join(chosen.join(repeated, F.col("__kept") == F.col("__many"), "left_anti"), number == F.col("__kept"), "left_semi")
+    several = _with_sets(docs.join(repeated, number == F.col("__many"), "left_semi"), text).withColumn("__id", number)
+    several = several.join(chosen, (F.col("__id") == F.col("__kept")) & F.col("__sid").eqNullSafe(F.col("__set")), "left_semi")
+    least = several.groupBy("__id", "__sid").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("m")).select("m.*")
+    return single.unionByName(least).unionByName(docs.where(number.isNull()))
 
 
 def op2_ngram_jaccard(spark, sf_dir):
