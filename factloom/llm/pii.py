@@ -125,13 +125,13 @@ def shape(word: str) -> tuple:
             if len(runs) > 9:
                 break
     size = len(word)
+    if len(runs) > 9:  # the loop left the word early
+        digits = sum("0" <= c <= "9" for c in word)
     core = word.strip("\"'=:;,.!?()[]{}<>*#$%&|")
     tail = core.rsplit("=", 1)[-1].strip("\"'")
     hexlike = len(tail) >= 16 and tail.isascii() and tail.isalnum() and any("0" <= c <= "9" for c in tail) and any(c.isalpha() for c in tail)
     if not digits and "@" not in word and "=" not in word:
         return ("plain", core.lower().rstrip(":=") if core.lower().rstrip(":=") in CUES else "", word[-1:] == ":")
-    if size > 64:
-        digits = sum("0" <= c <= "9" for c in word)
     return ("".join(runs), min(digits, 20), 0 if size < 4 else 1 if size < 8 else 2 if size < 12 else 3 if size < 20 else 4, hexlike)
 
 
@@ -294,16 +294,12 @@ def field() -> Field:
 
 
 HEX = re.compile(r"[A-Za-z0-9]{16,}")
+#: Digits of the longest number of any kind, a card's.
+MOST_DIGITS = 19
 
 
-def trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
-    """The part of a stretch of words that is of the kind; None if it fails the kind's check."""
-    if kind == "secret":
-        found = [m for m in HEX.finditer(text, start, end) if DIGIT.search(m.group())]
-        return found[-1].span() if found else None
-    if kind == "email":
-        found = [(a, b) for a, b in emails(text[start:end])]
-        return (start + found[0][0], start + found[0][1]) if found else None
+def fitting(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """A stretch of words without what clings to its number; None if it fails the kind's check."""
     while start < end and not (text[start].isdigit() or kind == "phone" and text[start] in "+("):
         start += 1
     while end > start and not text[end - 1].isdigit():
@@ -316,6 +312,36 @@ def trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int] | Non
     return start, end
 
 
+def trimmed(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """All parts of a stretch of words that are of the kind: numbers end at word limits, the longest first from each word on."""
+    if kind == "secret":
+        return [m.span() for m in HEX.finditer(text, start, end) if DIGIT.search(m.group())]
+    if kind == "email":
+        return [(start + a, start + b) for a, b in emails(text[start:end])]
+    whole = fitting(kind, text, start, end)
+    if whole:
+        return [whole]
+    out, i = [], 0
+    words = [m.span() for m in WORD.finditer(text, start, end)]
+    digits = [len(_digits(text[a:b])) for a, b in words]
+    while i < len(words):
+        # Of several words, no kind has more digits than MOST_DIGITS; words without digits stand between, not for long.
+        held, last = 0, i
+        while last < len(words) and held + digits[last] <= MOST_DIGITS and (digits[last] or last - i < MOST_DIGITS):
+            held += digits[last]
+            last += 1
+        found = None
+        for j in range(max(last, i + 1), i, -1):
+            found = digits[j - 1] and fitting(kind, text, words[i][0], words[j - 1][1])
+            if found and text.count("(", *found) == text.count(")", *found):
+                out.append(found)
+                i = j
+                break
+        else:
+            i += 1
+    return out
+
+
 def find_spans(texts: list) -> list[tuple[list, list]]:
     """For each text its base spans and all spans (kind, start, end), by kind as listed, then start."""
     f = field()
@@ -339,9 +365,9 @@ def find_spans(texts: list) -> list[tuple[list, list]]:
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             kind = LABELS[labels[i]]
             if kind != "O":
-                span = trimmed(kind, texts[n], places[n][a + i][0], places[n][a + j - 1][1])
-                if span and all(span[1] <= s or span[0] >= e for _, s, e in base[n]):
-                    added.setdefault(n, []).append((kind, *span))
+                for span in trimmed(kind, texts[n], places[n][a + i][0], places[n][a + j - 1][1]):
+                    if all(span[1] <= s or span[0] >= e for _, s, e in base[n]):
+                        added.setdefault(n, []).append((kind, *span))
     return [(b, sorted({*b, *added[n]}, key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if n in added else b) for n, b in enumerate(base)]
 
 
