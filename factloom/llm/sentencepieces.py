@@ -3,10 +3,18 @@
 The vocabulary at hand is a merge-ranked (BPE) SentencePiece model. Its segmentation is the one path
 through the lattice of pieces on which every two neighbours stay apart when merged on their own: a run
 of pieces is the model's own result exactly if each adjacent pair is the model's result for the pair's
-text. So the lattice search scores a step 0 if the pair is stable and minus infinity otherwise, each
-prefix keeps one backpointer, and the state is a window of as many prefixes as the longest piece has
-characters. Whenever the surviving backpointer paths run through one boundary, ids up to it are final
-and leave the window.
+text. So the lattice search scores a step 0 if the pair is stable and minus infinity otherwise, and each
+prefix keeps one backpointer.
+
+Texts stream through the search in blocks. Ids are committed whenever all surviving backpointer paths
+run through one boundary; what lies before it leaves the window:
+
+* A boundary that no piece spans (between words, or between two characters that stand side by side in no
+  piece) holds all paths, whatever comes: the stretch before it is committed there. Stretches that occur
+  again are remembered. New ones of at most WINDOW times the longest piece are searched side by side, one
+  lane each, a character a step (Lanes).
+* Within a longer stretch a prefix survives while what follows it begins some piece; the survivors' paths
+  are followed back until they meet, and the ids up to there are committed (segments).
 
 Nulls and empty texts give no ids; texts of any length are encoded whole, in bounded state; characters
 without a piece become byte pieces, as the library does it; repeated rows each get their row; other
@@ -19,18 +27,155 @@ import hashlib
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from .common import load, map_rows
 
 SPACE = "▁"
-MEMO_LIMIT, MEMO_CHARS, MEMO_WHOLE = 400_000, 40, 14
-PAIR_LIMIT = 300_000
+#: Words that a generation of the memo holds at most, and the longest of them; pairs whose stability is remembered at most.
+MEMO_LIMIT, MEMO_CHARS, PAIR_LIMIT = 60_000, 24, 1 << 18
+#: A lane's window, in longest pieces; characters of text whose new stretches are searched together, and of a block.
+WINDOW, SLICE, BLOCK = 2, 1 << 20, 1 << 18
 #: A chunk ends before a run of word marks; no piece holds a mark after another character (checked on loading).
 CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-COMMIT_EVERY = 64
+COMMIT_EVERY = 8
 ONE = (1,)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class IntTable:
+    """int64 keys (not negative) to int32 values, looked up many at once; a fixed number of slots, probed in order."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int32)
+        self.size = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * _ODD >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & self.mask
+            found = self.keys[slots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that aren't there, each once."""
+        slots, self.size = self._slots(keys), self.size + len(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            self.keys[slots[free]] = keys[free]  # of several for one slot, one stays
+            own = self.keys[slots] == keys
+            self.values[slots[own]] = values[own]
+            keys, values, slots = keys[~own], values[~own], (slots[~own] + 1) & self.mask
+
+
+class Lanes:
+    """The lattice search over many stretches at once: numpy across stretches, one character a step.
+
+    A prefix's paths go on along a tree of the pieces: (lane, start, node) triples are what survives, a node
+    with a piece is a candidate for the prefix's backpointer. Only characters of the pieces may occur.
+    """
+
+    def __init__(self, codec: PieceCodec):
+        self.codec = codec
+        #: Pieces by number: those that merges form, and all single characters in them.
+        self.names = sorted({*codec.halves, *(c for p in codec.halves for c in p)})
+        number = {p: n for n, p in enumerate(self.names)}
+        chars = sorted({c for p in self.names for c in p})
+        self.char = np.full(max(map(ord, chars), default=0) + 2, 0, np.int64)
+        self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        nodes: dict[tuple[int, str], int] = {}
+        piece_at = [-1]
+        for name, n in number.items():
+            at = 0
+            for c in name:
+                if (at, c) not in nodes:
+                    nodes[at, c] = len(piece_at)
+                    piece_at.append(-1)
+                at = nodes[at, c]
+            piece_at[at] = n
+        self.piece_at = np.array(piece_at, np.int32)
+        self.ways = IntTable(max(4, (4 * len(nodes)).bit_length()))
+        self.ways.put(np.array([at << 16 | int(self.char[ord(c)]) for at, c in nodes], np.int64), np.array(list(nodes.values()), np.int32))
+        self.pairs = IntTable(PAIR_LIMIT.bit_length())
+        ids = [codec.piece_ids(p) for p in self.names]
+        self.id_count = np.array([len(i) for i in ids], np.int64)
+        self.id_start = np.cumsum(self.id_count) - self.id_count
+        self.ids = np.array([x for i in ids for x in i], np.int32)
+
+    def stable(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        keys = before.astype(np.int64) << 24 | piece
+        found = self.pairs.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            every, inverse = np.unique(keys[new], return_inverse=True)
+            if self.pairs.size + len(every) > PAIR_LIMIT:
+                self.pairs = IntTable(PAIR_LIMIT.bit_length())
+            told = np.array([self.codec.stable(self.names[k >> 24], self.names[k & 0xFFFFFF]) for k in every.tolist()], np.int32)
+            if len(every) <= PAIR_LIMIT:
+                self.pairs.put(every, told)
+            found[new] = told[inverse]
+        return found == 1
+
+    def solve(self, parts: list[str]) -> list[bytes]:
+        """Each stretch's ids."""
+        n, lengths = len(parts), np.array([len(p) for p in parts], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        longest = int(lengths[0])
+        codes = np.frombuffer("".join([parts[i] for i in order.tolist()]).encode("utf-32-le"), np.uint32)
+        at = self.char[codes]
+        starts = np.cumsum(lengths) - lengths
+        back, last = np.zeros((longest + 1, n), np.uint8), np.zeros((longest + 1, n), np.int32)
+        lane, start, node = (np.zeros(0, np.int64) for _ in range(3))
+        for i in range(1, longest + 1):
+            live = int(np.searchsorted(-lengths, -i, side="right"))  # lanes of at least i characters come first
+            keep = lane < live
+            lane = np.concatenate([lane[keep], np.arange(live)])
+            start = np.concatenate([start[keep], np.full(live, i - 1)])
+            node = np.concatenate([node[keep], np.zeros(live, np.int64)])
+            node = self.ways.get(node << 16 | at[starts[lane] + (i - 1)]).astype(np.int64)
+            keep = node >= 0
+            lane, start, node = lane[keep], start[keep], node[keep]
+            piece = self.piece_at[node]
+            ends = np.flatnonzero(piece >= 0)
+            good = start[ends] == 0
+            rest = np.flatnonzero(~good)
+            good[rest] = self.stable(last[start[ends[rest]], lane[ends[rest]]], piece[ends[rest]])
+            ends = ends[good][::-1]  # of several, the longest is written last
+            back[i, lane[ends]], last[i, lane[ends]] = i - start[ends], piece[ends]
+        # Back along the pointers, all lanes at once.
+        at, lanes, steps = lengths.copy(), np.arange(n), []
+        while len(lanes):
+            steps.append((lanes, last[at[lanes], lanes]))
+            at[lanes] -= back[at[lanes], lanes]
+            lanes = lanes[at[lanes] > 0]
+        own = np.concatenate([s[0] for s in steps[::-1]])
+        pieces = np.concatenate([s[1] for s in steps[::-1]])
+        pieces = pieces[np.argsort(own, kind="stable")]
+        count = self.id_count[pieces]
+        flat = self.ids[np.repeat(self.id_start[pieces] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))].tobytes()
+        sizes = np.zeros(n, np.int64)
+        np.add.at(sizes, np.sort(own), count)
+        cuts = [0, *(4 * np.cumsum(sizes)).tolist()]
+        out: list = [b""] * n
+        for k, i in enumerate(order.tolist()):
+            out[i] = flat[cuts[k] : cuts[k + 1]]
+        return out
 
 
 def default_model() -> str:
@@ -83,8 +228,26 @@ class PieceCodec:
                 self.shown[i] = " ⁇ "
             elif i in self.hidden:
                 self.shown[i] = ""
+        #: Beginnings of pieces: a prefix of the text survives while what follows it is one of them.
+        self.begun = {p[:i] for p in self.halves for i in range(1, len(p))}
         self.stable_pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = {c for p in self.halves for c in p}
+        #: Boundaries at which ids were committed, as far as they were searched for.
+        self.commits = 0
+        self.lanes = Lanes(self)
+
+    def release(self) -> None:
+        """Forgets what was remembered."""
+        self.memo, self.older, self.stable_pairs = {}, {}, {}
+        self.lanes.pairs = IntTable(PAIR_LIMIT.bit_length())
+
+    def piece_ids(self, piece: str) -> list[int]:
+        found = self.ids.get(piece)
+        if found is not None:
+            return [found]
+        return [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
 
     def merge(self, text: str, trail: list | None = None) -> list[str]:
         """The model's definition on a short text: merges the best-scored adjacent pair, leftmost first."""
@@ -162,14 +325,16 @@ class PieceCodec:
                 else:
                     piece = None
                 last.append(piece)
-                if i >= 2 * longest and i % COMMIT_EVERY == 0:
-                    front = {k for k in range(i - longest + 1, i + 1) if last[k] is not None}
+                if i >= longest and i % COMMIT_EVERY == 0:
+                    begun = self.begun
+                    front = {k for k in range(i - longest + 1, i + 1) if last[k] is not None and (k == i or text[k:i] in begun)}
                     while len(front) > 1 and min(front) > 0:
                         k = max(front)
                         front.remove(k)
                         front.add(k - len(last[k]))
                     cut = min(front) if len(front) == 1 else 0
                     if cut > 0:
+                        self.commits += 1
                         yield from self.trace(last, cut)
                         text, last = text[cut:], last[cut:]
                         i, n = i - cut, n - cut
@@ -184,57 +349,121 @@ class PieceCodec:
             end -= len(last[end])
         return out[::-1]
 
-    def chunk(self, text: str) -> bytes:
+    def searched(self, blocks) -> bytes:
+        """Ids of a stream of text blocks by the search alone."""
         out = array("i")
-        for piece in self.segments((text,)):
+        for piece in self.segments(blocks):
             found = self.ids.get(piece)
             if found is not None:
                 out.append(found)
-            elif self.byte_id:
-                out.extend(self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass"))
             else:
-                out.append(self.unknown)
+                out.extend(self.piece_ids(piece))
         return out.tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as the machine's 32-bit integers, one after the other."""
-        if not text:
-            return b""
-        plain_spaces = text.count(" ")
-        text = SPACE + text.replace(" ", SPACE)
-        if not self.split_at_marks:
-            return self.chunk(text)
-        memo, out = self.memo, []
-        single = SPACE + SPACE not in text and text.count(SPACE) == plain_spaces + 1 and text[-1] != SPACE
-        for part in [SPACE + w for w in text[1:].split(SPACE)] if single else CHUNKS(text):
-            ids = memo.get(part)
-            if ids is None:
-                ids = self.cut_chunk(part)
-            out.append(ids)
-        return b"".join(out)
-
-    def cut_chunk(self, part: str) -> bytes:
-        """Ids of a chunk, part by part where no piece can cross; short parts are remembered."""
-        inside, memo = self.inside, self.memo
-        cuts = [0, *(i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside), len(part)]
-        out = []
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            piece = part[i:j]
-            ids = memo.get(piece)
-            if ids is None:
-                ids = self.chunk(piece)
-                if j - i <= MEMO_CHARS:
-                    self.remember(piece, ids)
-            out.append(ids)
-        ids = b"".join(out)
-        if len(cuts) > 2 and len(part) <= MEMO_WHOLE:
-            self.remember(part, ids)
-        return ids
-
-    def remember(self, part: str, ids: bytes) -> None:
+    def stretches(self, part: str) -> list[str]:
+        """A word with its marks, cut where no piece spans."""
+        inside, last, out = self.inside, 0, []
+        for i in range(1, len(part)):
+            if part[i - 1 : i + 1] not in inside:
+                out.append(part[last:i])
+                last = i
+        out.append(part[last:])
+        return out
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words that aren't in the memo: searched in lanes, or stretch by stretch."""
+        width, letters, whole, cut = WINDOW * self.longest, self.letters, [], {}
+        for w in words:
+            if len(w) <= width and letters.issuperset(w):
+                whole.append(w)
+            else:
+                cut[w] = self.stretches(w)
+        known: dict[str, bytes] = {}
+        lanes = list(whole)
+        for s in {s for found in cut.values() for s in found}:
+            if len(s) == 1:
+                known[s] = array("i", self.piece_ids(s)).tobytes()
+            elif len(s) <= width:
+                lanes.append(s)
+            else:
+                known[s] = self.searched(s[i : i + BLOCK] for i in range(0, len(s), BLOCK))
+        if lanes:
+            known.update(zip(lanes, self.lanes.solve(lanes), strict=True))
+        self.commits += len(whole)
+        for w, found in cut.items():
+            self.commits += len(found)
+            known[w] = b"".join([known[s] for s in found])
+        for w in words:
+            if len(w) <= MEMO_CHARS:
+                self.remember(w, known[w])
+        return known
+
+    def remember(self, word: str, ids: bytes) -> None:
+        """The memo has two generations: what the older one holds and nobody asks for goes when the younger one is full."""
         if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        self.memo[part] = ids
+            self.older, self.memo = self.memo, {}
+        self.memo[word] = ids
+
+    def words(self, text: str) -> list[str]:
+        """The text's words, each behind its marks: every word begins at a committed boundary."""
+        if not self.split_at_marks:
+            return [text]
+        if SPACE + SPACE in text or text[-1] == SPACE:
+            return CHUNKS(text)
+        first, *rest = text.split(SPACE)
+        return [*([first] if first else []), *[SPACE + w for w in rest]]
+
+    def blocks(self, text: str):
+        """Marked text in blocks that end before a mark."""
+        begin = 0
+        while len(text) - begin > BLOCK and self.split_at_marks:
+            end = text.find(SPACE, begin + BLOCK)
+            while end > 0 and text[end - 1] == SPACE:  # not within a run of marks
+                end = text.find(SPACE, end + 1)
+            if end < 0:
+                break
+            yield text[begin:end]
+            begin = end
+        yield text[begin:] if begin else text
+
+    def encode_all(self, texts: list) -> list[bytes]:
+        """For each text its ids as the machine's 32-bit integers, one after the other."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, held = [], 0
+
+        def settle():
+            every = [w for _, words in waiting for w in words]
+            found = list(map(self.memo.get, every))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new = {every[i]: None for i in missing}
+            for w in new.keys() & self.older.keys():
+                new[w] = self.older[w]
+            told = self.learn([w for w, ids in new.items() if ids is None])
+            for w, ids in new.items():
+                if ids is not None:
+                    told[w] = ids
+                    self.remember(w, ids)
+            for i in missing:
+                found[i] = told[every[i]]
+            at = 0
+            for n, words in waiting:
+                out[n].append(b"".join(found[at : at + len(words)]))
+                at += len(words)
+            waiting.clear()
+
+        for n, text in enumerate(texts):
+            if text:
+                for block in self.blocks(SPACE + text.replace(" ", SPACE)):
+                    waiting.append((n, self.words(block)))
+                    held += len(block)
+                    if held >= SLICE:
+                        settle()
+                        held = 0
+        settle()
+        return [b"".join(o) for o in out]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         text = "".join(map(self.shown.__getitem__, ids))
@@ -259,7 +488,7 @@ def _ints(data: bytes) -> array:
 def encode_pieces(df: DataFrame, text: str = "text", key: str = "doc_id", model: str | None = None) -> DataFrame:
     """One row per input row: key, ids (array of int; empty for null or empty texts)."""
     path, kind = model or default_model(), df.schema[key].dataType.simpleString()
-    return map_rows(df, [key, text], f"`{key}` {kind}, ids array<int>", lambda keys, texts: [keys, [_ints(codec(path).encode(t)) for t in texts]])
+    return map_rows(df, [key, text], f"`{key}` {kind}, ids array<int>", lambda keys, texts: [keys, list(map(_ints, codec(path).encode_all(texts)))])
 
 
 def decode_pieces(df: DataFrame, ids: str = "ids", key: str = "doc_id", model: str | None = None) -> DataFrame:
@@ -274,8 +503,7 @@ def piece_digest(df: DataFrame, text: str = "text", key: str = "doc_id", model:
 
     def run(keys, texts):
         c, n, ids_sha, text_sha = codec(path), [], [], []
-        for t in texts:
-            ids = c.encode(t)
+        for ids in c.encode_all(texts):
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             text_sha.append(hashlib.sha256(c.decode(_ints(ids)).encode("utf-8", "surrogatepass")).hexdigest())
