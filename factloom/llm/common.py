@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,6 +32,34 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+_owner = ""
+
+
+def claim(module: str) -> None:
+    """Called where a Python worker takes up an operator's work: what the other operators remember there is dropped.
+
+    Workers serve stage after stage. Each module's forget() drops its memos; freed memory goes back to the system.
+    """
+    global _owner
+    if module == _owner:
+        return
+    _owner = module
+    for name, other in list(sys.modules.items()):
+        if name.startswith(f"{__package__}.") and name != module and hasattr(other, "forget"):
+            other.forget()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[..., list]) -> DataFrame:
     """Runs fn(list per column) -> list per output column over Arrow batches of the named columns."""
     bound_batches(df.sparkSession)
@@ -37,7 +68,10 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[..., l
 
     arrow = to_arrow_schema(fields)
 
+    owner = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for batch in batches:
             if batch.num_rows:
                 out = fn(*(c.to_pylist() for c in batch.columns))
@@ -55,15 +89,19 @@ def fold(key: object, modulus: int) -> int:
     return zlib.crc32(str(key).encode()) % modulus
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a local one is used.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset a folder of this machine serves, but only a local master."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/checkpoints/factloom"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -93,7 +131,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound that keeps a worker's memory flat."""
 
-    LIMIT = 200_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

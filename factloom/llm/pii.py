@@ -293,6 +293,11 @@ def field() -> Field:
     return Field()
 
 
+def forget() -> None:
+    if field.cache_info().currsize:
+        field().memo.clear()
+
+
 HEX = re.compile(r"[A-Za-z0-9]{16,}")
 #: Digits of the longest number of any kind, a card's.
 MOST_DIGITS = 19

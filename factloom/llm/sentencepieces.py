@@ -479,6 +479,10 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def forget() -> None:
+    codec.cache_clear()
+
+
 def _ints(data: bytes) -> array:
     out = array("i")
     out.frombytes(data)

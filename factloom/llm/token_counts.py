@@ -20,7 +20,7 @@ from .common import load, map_rows, text_bytes
 
 #: Fixed values of the public byte-level BPE format: the pre-token pattern (white space as the Unicode property).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MEMO_LIMIT, MEMO_BYTES = 400_000, 48
+MEMO_LIMIT, MEMO_BYTES = 300_000, 48
 TOKEN_LIMIT = 512
 
 
@@ -114,6 +114,10 @@ def counter(path: str) -> PairCounter:
     return PairCounter(path)
 
 
+def forget() -> None:
+    counter.cache_clear()
+
+
 def count_tokens(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """One row per input row: key, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     path = vocabulary or default_vocabulary()

@@ -279,6 +279,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 _shared: dict = {}
 
 
+def forget() -> None:
+    _shared.clear()
+
+
 def _scored(model: dict, texts: list) -> list[tuple[float, int]]:
     """(calibrated score, guessed language) of each text."""
     vocabulary, out = _shared.setdefault("vocabulary", Vocabulary()), []
