@@ -53,21 +53,22 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
 
 
-def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket (the keys' upper bits) begins in ascending keys, and the end."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def bucket_parts(keys: np.ndarray, bits: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (upper bits of keys of that width) that ascending keys fall into, and where each begins, with the end."""
+    bucket = (keys >> np.uint64(width - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[first].astype(np.int32), np.append(first, len(keys)).astype(np.uint32)
 
 
 def requests(batch: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
-    """Rows of REQUEST for a batch's ascending distinct keys."""
-    bounds = bucket_bounds(keys, bits)
-    return [(batch, b, pack_sorted(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
+    """Rows of REQUEST for a batch's ascending distinct keys: as many as it has buckets, never more than keys."""
+    buckets, bounds = bucket_parts(keys, bits)
+    return [(batch, b, pack_sorted(keys[i:j]), pack_counts(counts[i:j])) for b, i, j in zip(buckets.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def bucket_bits(parts: int) -> int:
-    """Buckets follow the number of input partitions: some for each, 64 at least."""
-    return min(16, max(6, (4 * parts - 1).bit_length()))
+    """Buckets follow the number of input partitions: some for each, 64 at least, so that a bucket's size doesn't grow."""
+    return min(24, max(6, (8 * parts - 1).bit_length()))
 
 
 def answer_schema() -> pa.Schema:
@@ -97,13 +98,14 @@ def total_counts(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(add, ANSWER)
 
 
-def settled(own: np.ndarray, bounds: np.ndarray, table: pa.Table) -> np.ndarray:
-    """A batch's own counts with the answers put in."""
+def settled(own: np.ndarray, parts: tuple[np.ndarray, np.ndarray], table: pa.Table) -> np.ndarray:
+    """A batch's own counts with the answers put in; parts as bucket_parts gave them."""
     total = own.astype(np.int64, copy=True)
+    buckets, bounds = parts
     for b, at, totals in zip(table["bucket"].to_pylist(), table["at"].to_pylist(), table["totals"].to_pylist(), strict=True):
         if at is not None:
             places = unpack_sorted(at).astype(np.int64)
-            total[bounds[b] + places] = unpack_counts(totals, len(places))
+            total[int(bounds[np.searchsorted(buckets, b)]) + places] = unpack_counts(totals, len(places))
     return total
 
 

@@ -3,13 +3,13 @@
 Two documents link if 100 * shared >= 75 * united shingles. The join is exact and never emits all pairs
 of a group:
 
-1. Equal sets become one (sid: 64 bits of the set's digest). Of each set the smallest hashes are counted
+1. Equal sets become one (sid: the set's 128-bit digest). Of each set the smallest hashes are counted
    over the corpus; a set that could link must share enough of them, the rest go.
 2. What is left counts all its shingles; a set that shares fewer than three quarters goes. Shingles are
    ordered by frequency, then hash, and only a set's first size - T + 1 are keys: linked sets share one.
-3. Sets meet the smallest set of their keys (that of most keys), in blocks of bounded size. In a block those
-   that link to its first set join it; the others ask the block's inverted index: short lists are merged by a heap,
-   long ones probed by bisection, candidates that reach the needed overlap are checked and joined.
+3. Sets meet the smallest set of their keys (that of most keys), in blocks of bounded size. Every link is found by
+   a search of the block's inverted index: short lists are merged by a heap, long ones probed by bisection, sets
+   that reach the needed overlap are joined. The block's first set searches first, then those it left apart.
 4. Keys whose sets lie in different components are searched again in full: families of sets that such keys
    connect at once if they are small, else in pairs of bounded pieces (the largest families key by key); pieces
    of one component skip each other.
@@ -32,11 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, bound_batches, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
+from .common import ASCII_LOWER, WordHashes, bound_batches, claim, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
 from .components import connected_components
-from .exchange import bucket_bits, bucket_bounds, frozen, requests, settled, state_of, total_counts
+from .exchange import bucket_bits, bucket_parts, frozen, requests, settled, state_of, total_counts
 
 WORDS, PERCENT = 5, 75
+OWNER = __name__
 #: Sets in a block at most (besides the first).
 BLOCK = 256
 #: Sets that are searched as one family at most; families of up to WIDE sets are searched in pairs of pieces, larger
@@ -47,6 +48,10 @@ BROADCAST_ROWS = 2_000_000
 _words = WordHashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
     """Ascending distinct hashes of a text's shingles."""
     words = text_bytes(text).translate(ASCII_LOWER).split()
@@ -66,8 +71,13 @@ def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
+def set_id(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def parted(sids: bytes) -> list[bytes]:
+    """Set ids that were put one after the other."""
+    return [sids[i : i + 16] for i in range(0, len(sids), 16)]
 
 
 def spare(n: int) -> int:
@@ -82,9 +92,10 @@ def batch_number(counter: int) -> int:
 def scan_sets(docs: DataFrame, bits: int) -> DataFrame:
     """Rows for documents (doc_id, n, sid), batches' states, and their requests for the smallest hashes' counts."""
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("state", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("state", pa.binary())])
 
     def run(batches):
+        claim(OWNER)
         for counter, b in enumerate(batches):
             number, rows, sets = batch_number(counter), [], {}
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -98,12 +109,12 @@ def scan_sets(docs: DataFrame, bits: int) -> DataFrame:
                 firsts = [s[: len(s) - needed(len(s)) + 1 + spare(len(s))] for s in sets.values()]
                 owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
                 keys, inverse, counts = np.unique(np.concatenate(firsts), return_inverse=True, return_counts=True)
-                state = frozen(sids=np.array(list(sets), np.int64), sizes=sizes, owner=owner.astype(np.uint16 if len(sets) < 65536 else np.uint32), key=inverse.astype(np.uint32), counts=counts, bounds=bucket_bounds(keys, bits))
+                state = frozen(sids=b"".join(sets), sizes=sizes, owner=owner.astype(np.uint16 if len(sets) < 65536 else np.uint32), key=inverse.astype(np.uint32), counts=counts, parts=bucket_parts(keys, bits))
                 rows.append((None, None, None, number, -1, None, None, state))
                 rows += [(None, None, None, *r, None) for r in requests(number, keys, counts, bits)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, batch long, bucket int, keys binary, counts binary, state binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sid binary, batch long, bucket int, keys binary, counts binary, state binary")
 
 
 def told(states: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
@@ -114,10 +125,11 @@ def told(states: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
 
 def _likely(table: pa.Table) -> pa.Table:
     s = state_of(table)
-    total = settled(s["counts"], s["bounds"], table)
-    shared = np.bincount(s["owner"], weights=total[s["key"]] > 1, minlength=len(s["sids"]))
+    total = settled(s["counts"], s["parts"], table)
+    shared = np.bincount(s["owner"], weights=total[s["key"]] > 1, minlength=len(s["sizes"]))
     least = -(-s["sizes"] * PERCENT // 100) // 8 + 1  # a partner may be that much smaller, and asks for an eighth of itself
-    return pa.table({"sid": pa.array(s["sids"][shared >= least], pa.int64())})
+    sids = parted(s["sids"])
+    return pa.table({"sid": pa.array([sids[i] for i in np.flatnonzero(shared >= least)], pa.binary())})
 
 
 def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
@@ -126,12 +138,13 @@ def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
     schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("state", pa.binary())])
 
     def run(batches):
+        claim(OWNER)
         for counter, b in enumerate(batches):
             if not b.num_rows:
                 continue
             own = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
             keys, inverse, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-            state = frozen(sids=b.column(0).to_numpy(), sizes=np.array([len(s) for s in own]), key=inverse.astype(np.uint32), keys=keys, counts=counts, bounds=bucket_bounds(keys, bits))
+            state = frozen(sids=b"".join(b.column(0).to_pylist()), sizes=np.array([len(s) for s in own]), key=inverse.astype(np.uint32), keys=keys, counts=counts, parts=bucket_parts(keys, bits))
             number = batch_number(counter)
             rows = [(number, -1, None, None, state), *((*r, None) for r in requests(number, keys, counts, bits))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
@@ -142,9 +155,9 @@ def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
 def _keyed(table: pa.Table) -> pa.Table:
     """Sets that share enough: their shared shingles, and the rarest of them as keys."""
     s = state_of(table)
-    total = settled(s["counts"], s["bounds"], table)
+    total = settled(s["counts"], s["parts"], table)
     out, at = [], 0
-    for sid, n in zip(s["sids"].tolist(), s["sizes"].tolist(), strict=True):
+    for sid, n in zip(parted(s["sids"]), s["sizes"].tolist(), strict=True):
         k = s["key"][at : at + n]
         at += n
         common = k[total[k] > 1]
@@ -154,7 +167,7 @@ def _keyed(table: pa.Table) -> pa.Table:
         order = np.lexsort((keys, total[common]))
         first = n - needed(n) + 1 - (n - len(common))
         out.append((sid, n, keys.tobytes(), keys[order[:first]].view(np.int64)))
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     return pa.Table.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["sid", "n", "shared", "keys"])
 
 
@@ -165,20 +178,31 @@ class InvertedIndex:
     MU = 0.02
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.sets, self.sizes, self.lists = sets, sizes, {}
-        for i, s in enumerate(sets):
-            for token in s.tolist():
-                self.lists.setdefault(token, []).append(i)
+        self.sizes = sizes
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        #: The lists, one behind the other by token; each ascends.
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        self.tokens, starts = np.unique(every[order], return_index=True)
+        self.bounds = np.append(starts, len(every))
+
+    def lists(self, query: np.ndarray) -> list[tuple[int, int]]:
+        """Where the lists of the query's tokens begin and end, short ones first."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        begin, end = self.bounds[at], self.bounds[at + 1]
+        order = np.argsort(end - begin, kind="stable")
+        return list(zip(begin[order].tolist(), end[order].tolist(), strict=True))
 
     def search(self, query: np.ndarray, size: int, wanted) -> list[int]:
         """Sets that link to the query, among those for which wanted(i) holds; each once, ascending."""
-        lists = sorted((found for t in query.tolist() if (found := self.lists.get(t))), key=len)
         least = needed(size)
-        if len(lists) < least:
+        if not len(self.tokens) or len(lists := self.lists(query)) < least:
             return []
-        longest = len(lists[-1])
+        longest = lists[-1][1] - lists[-1][0]
         skipped = min(least - 1, len(lists), int(least / (self.MU * np.log2(longest + 1) + 1)))
-        short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
+        short = [self.owner[a:b].tolist() for a, b in lists[: len(lists) - skipped]]
+        bounds, long = lists[len(lists) - skipped :][::-1], [None] * skipped
         out = []
         for i, run in groupby(heapq.merge(*short)):
             if not wanted(i):
@@ -187,9 +211,12 @@ class InvertedIndex:
             if count < least - skipped:
                 continue
             t = overlap_needed(size, self.sizes[i])
-            for left, found in enumerate(reversed(long)):
+            for left in range(skipped):
                 if count >= t or count + skipped - left < t:
                     break
+                found = long[left]
+                if found is None:
+                    found = long[left] = self.owner[bounds[left][0] : bounds[left][1]].tolist()
                 p = bisect_left(found, i)
                 count += p < len(found) and found[p] == i
             if count >= t:
@@ -197,7 +224,7 @@ class InvertedIndex:
         return out
 
 
-def join_block(sids: list[int], sizes: list[int], sets: list[np.ndarray], groups: list[int]) -> list[tuple[int, int]]:
+def join_block(sids: list, sizes: list[int], sets: list[np.ndarray], groups: list) -> list[tuple]:
     """Edges (sid, sid) that connect all sets of the block that links connect, given groups known to be connected."""
     n = len(sids)
     root = list(range(n))
@@ -208,41 +235,40 @@ def join_block(sids: list[int], sizes: list[int], sets: list[np.ndarray], groups
             i = root[i]
         return i
 
-    seen: dict[int, int] = {}
+    seen: dict = {}
     for i, g in enumerate(groups):
         root[find(i)] = find(seen.setdefault(g, i))
     edges = []
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[a] = b
-            edges.append((sids[i], sids[j]))
-
-    first = sets[0]
-    for i in range(1, n):
-        if find(i) != find(0) and linked(len(np.intersect1d(first, sets[i], assume_unique=True)), sizes[0], sizes[i]):
-            join(i, 0)
+    if len(seen) < 2:
+        return edges
+    index = InvertedIndex(sets, sizes)
+
+    def ask(i: int) -> None:
+        for j in index.search(sets[i], sizes[i], lambda j: find(j) != find(i)):
+            a, b = find(j), find(i)
+            if a != b:
+                root[a] = b
+                edges.append((sids[i], sids[j]))
+
+    ask(0)
     tops = [find(i) for i in range(n)]
     counts: dict[int, int] = {}
     for t in tops:
         counts[t] = counts.get(t, 0) + 1
     if len(counts) > 1:
-        index = InvertedIndex(sets, sizes)
         main = max(counts, key=lambda t: (counts[t], -t))
-        for i in range(n):
+        for i in range(1, n):
             if tops[i] != main:  # a link between two groups is found from its smaller side
-                for j in index.search(sets[i], sizes[i], lambda j, i=i: find(j) != find(i)):
-                    join(i, j)
+                ask(i)
     return edges
 
 
 def _search(table: pa.Table) -> pa.Table:
-    order = np.lexsort((table["sid"].to_numpy(), ~table["first"].to_numpy(zero_copy_only=False)))
-    rows = table.take(pa.array(order))
+    sids, first = table["sid"].to_pylist(), table["first"].to_pylist()
+    rows = table.take(pa.array(sorted(range(len(sids)), key=lambda i: (not first[i], sids[i]))))
     sets = [np.frombuffer(s, np.uint64) for s in rows["shared"].to_pylist()]
     edges = join_block(rows["sid"].to_pylist(), rows["n"].to_pylist(), sets, rows["group"].to_pylist())
-    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
 
 
 def similar_sets(cand: DataFrame) -> DataFrame:
@@ -257,7 +283,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     heads = parts.select(F.col("first_sid").alias("sid"), F.col("first_sid").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"))
     sets = cand.select("sid", "n", "shared")
     rows = dealt.unionByName(heads).join(sets, "sid").withColumn("group", F.col("sid"))
-    near = materialize(rows.groupBy("block", "part").applyInArrow(_search, "a long, b long"))
+    near = materialize(rows.groupBy("block", "part").applyInArrow(_search, "a binary, b binary"))
 
     # Keys whose sets still lie in different components.
     roots = connected_components(near)
@@ -272,10 +298,10 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     small = kin.where(F.col("members") <= FAMILY).select("sid", "root")
     rows = small.join(sets, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("own")), "sid", "left")
     rows = rows.select("sid", "n", "shared", F.coalesce("own", "sid").alias("group"), F.lit(False).alias("first"), "root")
-    within = materialize(rows.groupBy("root").applyInArrow(_search, "a long, b long"))
+    within = materialize(rows.groupBy("root").applyInArrow(_search, "a binary, b binary"))
     mine = roots.select(F.col("node").alias("sid"), F.col("root").alias("own"))
     middle = kin.where(F.col("members").between(FAMILY + 1, WIDE)).join(mine, "sid", "left").select(F.col("root").alias("token"), "sid", F.coalesce("own", "sid").alias("group"))
-    open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select("token", "sid", "group"))
+    open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select(F.unhex(F.hex("token")).alias("token"), "sid", "group"))
     # A piece holds whole groups where they are small, and a slice of one group where it is large.
     held = open_.groupBy("token", "group").agg(F.count("*").alias("k"))
     held = held.join(held.groupBy("token").agg(F.sum(F.when(F.col("k") <= BLOCK, F.col("k")).otherwise(0)).alias("few")), "token")
@@ -290,7 +316,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     left = placed.join(pairs, ["token", "piece"]).select("token", "piece", "piece2", "sid", "group")
     right = placed.withColumnRenamed("piece", "piece2").join(pairs.where("piece <> piece2"), ["token", "piece2"]).select("token", "piece", "piece2", "sid", "group")
     rows = left.unionByName(right).withColumn("first", F.lit(False)).join(sets, "sid")
-    rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a long, b long"))
+    rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a binary, b binary"))
     return near.unionByName(within).unionByName(rest)
 
 
@@ -306,22 +332,23 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     scan = materialize(scan_sets(rows, bits))
     numbered = scan.where("batch is null").select("doc_id", "n", "sid")
     answers = total_counts(scan.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
-    likely = told(scan.where("bucket = -1"), answers, _likely, "sid long")
+    likely = told(scan.where("bucket = -1"), answers, _likely, "sid binary")
     lowest = numbered.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialize(lowest.join(likely.distinct(), "sid", "left_semi").where("doc_id is not null"))
     few = chosen.count() <= BROADCAST_ROWS
 
     def whole(batches):
+        claim(OWNER)
         for b in batches:
             made = ((sid, shingle_set(t)) for sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             rows = [(sid, s.tobytes()) for sid, s in made if len(s) and set_id(s) == sid]  # one id may stand by several texts
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "shared"])
 
     picked = rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("sid", "text")
-    sets = materialize(picked.mapInArrow(whole, "sid long, shared binary"))
+    sets = materialize(picked.mapInArrow(whole, "sid binary, shared binary"))
     shared = materialize(scan_shared(sets.dropDuplicates(["sid"]), bits))
     answers = total_counts(shared.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
-    cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid long, n long, shared binary, keys array<long>"))
+    cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid binary, n long, shared binary, keys array<long>"))
     roots = connected_components(similar_sets(cand))
 
     grouped = lowest.join(roots.withColumnRenamed("node", "sid"), "sid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -333,12 +360,13 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _with_sets(docs: DataFrame, text: str) -> DataFrame:
     """docs with __sid, the id of each text's set."""
-    at, schema = docs.columns.index(text), docs.withColumn("__sid", F.lit(None).cast("long")).schema
+    at, schema = docs.columns.index(text), docs.withColumn("__sid", F.lit(None).cast("binary")).schema
 
     def run(batches):
+        claim(OWNER)
         for b in batches:
             sets = [shingle_set(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "__sid"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.binary())], names=[*b.schema.names, "__sid"])
 
     return docs.mapInArrow(run, schema)
 

@@ -22,9 +22,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, bound_batches, fold, input_parts, load, materialize, mix64, text_bytes, word_hashes
-from .exchange import bucket_bits, frozen, pack_counts, pack_sorted, thawed, unpack_counts, unpack_sorted
+from .common import ASCII_LOWER, WordHashes, bound_batches, claim, fold, input_parts, load, materialize, mix64, text_bytes, word_hashes
+from .exchange import bucket_bits, bucket_parts, frozen, pack_counts, pack_sorted, thawed, unpack_counts, unpack_sorted
 
+OWNER = __name__
 #: Bytes of text in a batch.
 BATCH_BYTES = 8 << 20
 START, END = b" start", b" end"  # no word holds a space
@@ -36,6 +37,10 @@ PRIOR = (0.3, 0.6, 0.1)
 _words = WordHashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's words and of the end."""
     words = text_bytes(text).translate(ASCII_LOWER).split()
@@ -64,18 +69,19 @@ class Batch:
         self.pair_counts = np.bincount(self.pair[learn], minlength=len(self.pairs))
 
     def parts(self, bits: int):
-        """(first bucket, ascending keys, counts, bounds of buckets) of words and of bigrams."""
+        """(ascending keys, counts, their buckets, bounds of these) of words and of bigrams, which have the upper buckets."""
         for base, keys, counts, width in ((0, self.words, self.word_counts, 64), (1 << bits, self.pairs, self.pair_counts, PAIR_BITS)):
-            edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)
-            yield base, keys, counts, np.append(np.searchsorted(keys, edges), len(keys))
+            buckets, bounds = bucket_parts(keys, bits, width)
+            yield keys, counts, (base + buckets).tolist(), bounds.tolist()
 
 
 def _ask(bits: int):
     def run(table: pa.Table) -> pa.Table:
+        claim(OWNER)
         batch = Batch(table["doc_id"].to_pylist(), table["text"].to_pylist())
         number, out = table["batch"][0].as_py(), []
-        for base, keys, counts, bounds in batch.parts(bits):
-            out += [(number, base + b, pack_sorted(keys[i:j]), pack_counts(counts[i:j])) for b, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if j > i]
+        for keys, counts, buckets, bounds in batch.parts(bits):
+            out += [(number, b, pack_sorted(keys[i:j]), pack_counts(counts[i:j])) for b, i, j in zip(buckets, bounds[:-1], bounds[1:], strict=True)]
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["batch", "bucket", "keys", "counts"])
 
@@ -111,18 +117,19 @@ def _tell(bits: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """A batch's counts by token; the buckets' sums pass through."""
+        claim(OWNER)
         if not docs.num_rows:
             return pa.Table.from_arrays([answers["known"], answers["tokens"], pa.nulls(answers.num_rows, pa.binary())], schema=schema)
         batch = Batch(docs["doc_id"].to_pylist(), docs["text"].to_pylist())
         told = {b: (at, totals) for b, at, totals in zip(*(answers[c].to_pylist() for c in ("bucket", "at", "totals")), strict=True)}
         full = []
-        for base, _, counts, bounds in batch.parts(bits):
+        for _, counts, buckets, bounds in batch.parts(bits):
             total = counts.astype(np.int64)
-            for b in range(len(bounds) - 1):
-                if base + b in told:
-                    at, totals = told[base + b]
+            for b, begin in zip(buckets, bounds[:-1], strict=True):
+                if b in told:
+                    at, totals = told[b]
                     places = unpack_sorted(at).astype(np.int64)
-                    total[bounds[b] + places] = unpack_counts(totals, len(places))
+                    total[begin + places] = unpack_counts(totals, len(places))
             full.append(total)
         data = frozen(keys=batch.keys, held=batch.held, lengths=batch.lengths, words=_planes(full[0][batch.word]), pairs=_planes(full[1][batch.pair]))
         return pa.Table.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([zstandard.compress(data, 1)], pa.binary())], schema=schema)
