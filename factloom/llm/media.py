@@ -2,10 +2,12 @@
 
 Bytes are kept losslessly as mu-law or A-law samples (8 bit) or as the nibbles of IMA ADPCM blocks;
 reading back expands them to 16-bit PCM (lookup tables; for ADPCM one numpy step per nibble position
-over all blocks of a batch) and resamples the PCM to another rate.
+over all blocks of a batch), resamples the PCM to another rate and stores it as a PCM file.
 
-Nulls and empty texts store one padded unit; texts of any length are stored whole, ADPCM in slabs of
-blocks so that memory stays bounded; equal texts give equal values; other columns are ignored.
+Nulls and empty texts store one padded unit; texts of any length are stored whole. Sound is decoded,
+resampled and written in slabs: besides a text, its payload and its stored form (and the PCM file, where
+the caller asks for that itself), memory doesn't follow the text. Equal texts give equal values; repeated
+rows each get their row; null media give null PCM; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +30,8 @@ CODECS = (MULAW, ALAW, ADPCM)
 TAGS = {MULAW: 7, ALAW: 6, ADPCM: 17, "pcm": 1}
 #: An ADPCM block here is the format's 4-byte header and one unit of nibbles.
 BLOCK = 4 + UNIT
-SLAB = 4096
+#: ADPCM blocks, and samples of the other codecs, that are decoded at once.
+SLAB, SLAB_SAMPLES = 512, 1 << 19
 #: Fixed values of IMA ADPCM: index change by code (sign bit dropped), and the step table.
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
 STEPS = np.array([
@@ -61,8 +65,8 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % UNIT or (0 if data else UNIT))
 
 
-def wave(codec: str, data: bytes, rate: int = RATE) -> bytes:
-    """A mono WAVE file around the coded bytes."""
+def wave_head(codec: str, size: int, rate: int = RATE) -> bytes:
+    """What stands before size coded bytes in a mono WAVE file; after an odd number of bytes comes one 0."""
     tag = TAGS[codec]
     align, bits = {ADPCM: (BLOCK, 4), "pcm": (2, 16)}.get(codec, (1, 8))
     samples = 2 * UNIT + 1
@@ -71,14 +75,20 @@ def wave(codec: str, data: bytes, rate: int = RATE) -> bytes:
     fmt = struct.pack("<HHIIHH", tag, 1, rate, speed, align, bits) + extra
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt
     if codec != "pcm":
-        count = len(data) // BLOCK * samples if codec == ADPCM else len(data)
+        count = size // BLOCK * samples if codec == ADPCM else size
         body += b"fact" + struct.pack("<II", 4, count & 0xFFFFFFFF)
-    body += b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    body += b"data" + struct.pack("<I", size)
+    return b"RIFF" + struct.pack("<I", len(body) + size + size % 2) + body
 
 
-def parse_wave(blob: bytes) -> tuple[str, int, bytes]:
-    """(codec, rate, coded bytes) of a WAVE file; raises ValueError on anything else."""
+def wave(codec: str, data: bytes, rate: int = RATE) -> bytes:
+    """A mono WAVE file around the coded bytes."""
+    return b"".join((wave_head(codec, len(data), rate), data, b"\0" * (len(data) % 2)))
+
+
+def parse_wave(blob: bytes) -> tuple[str, int, memoryview]:
+    """(codec, rate, view of the coded bytes) of a WAVE file; raises ValueError on anything else."""
+    blob = memoryview(blob)
     if blob[:4] != b"RIFF" or blob[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
     at, found, rate = 12, None, 0
@@ -108,7 +118,7 @@ def read_payload(blob: bytes) -> bytes:
     codec, _, data = parse_wave(blob)
     if codec == ADPCM:
         return np.frombuffer(data, np.uint8).reshape(-1, BLOCK)[:, 4:].tobytes()
-    return data
+    return bytes(data)
 
 
 def adpcm_pcm(blocks: np.ndarray) -> np.ndarray:
@@ -130,34 +140,84 @@ def adpcm_pcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def pcm(blob: bytes) -> np.ndarray:
-    """16-bit samples of a stored file."""
+def decoded(blob: bytes) -> Iterator[np.ndarray]:
+    """The 16-bit samples of a stored file, slab by slab."""
     codec, _, data = parse_wave(blob)
-    if codec == "pcm":
-        return np.frombuffer(data, "<i2")
-    raw = np.frombuffer(data, np.uint8)
-    if codec in TABLES:
-        return TABLES[codec][raw]
-    blocks = raw.reshape(-1, BLOCK)
-    return np.concatenate([adpcm_pcm(blocks[i : i + SLAB]).ravel() for i in range(0, len(blocks), SLAB)])
-
-
-def resample(samples: np.ndarray, rate: int = RATE, to: int = WIDE_RATE) -> np.ndarray:
-    """Linear interpolation in integers; the last sample is held."""
-    n = len(samples) * to // rate
-    at = np.arange(n, dtype=np.int64) * rate
-    i, part = at // to, at % to
-    a = samples[i].astype(np.int64)
-    b = samples[np.minimum(i + 1, len(samples) - 1)]
-    return ((a * (to - part) + b * part) // to).astype(np.int16)
+    if codec == ADPCM:
+        blocks = np.frombuffer(data, np.uint8).reshape(-1, BLOCK)
+        for i in range(0, len(blocks), SLAB):
+            yield adpcm_pcm(blocks[i : i + SLAB]).ravel()
+        return
+    raw = np.frombuffer(data, "<i2" if codec == "pcm" else np.uint8)
+    for i in range(0, len(raw), SLAB_SAMPLES):
+        part = raw[i : i + SLAB_SAMPLES]
+        yield TABLES[codec][part] if codec in TABLES else part
 
 
-def feature(codec: str, samples: np.ndarray, wide: np.ndarray) -> str:
-    """Length, peak, energy and sign changes of the decoded sound, and the stored PCM's check sum."""
-    x = samples.astype(np.int64)
-    turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    stored = wave("pcm", wide.astype("<i2").tobytes(), WIDE_RATE)
-    return f"{codec}:n={len(x)}:peak={int(np.abs(x).max())}:energy={int((x * x).sum() // len(x))}:turns={turns}:pcm16k={zlib.crc32(stored):08x}"
+def sample_count(blob: bytes) -> int:
+    codec, _, data = parse_wave(blob)
+    return len(data) // BLOCK * (2 * UNIT + 1) if codec == ADPCM else len(data) // (2 if codec == "pcm" else 1)
+
+
+class Resampler:
+    """Linear interpolation in integers over a stream of samples; the last sample is held.
+
+    The result goes, as a PCM file of the new rate, to sink piece by piece.
+    """
+
+    def __init__(self, total: int, sink: Callable[[bytes], None], rate: int = RATE, to: int = WIDE_RATE):
+        self.sink, self.rate, self.to = sink, rate, to
+        self.left = np.zeros(0, np.int16)  # the sample before the next, which its right neighbour completes
+        self.at = 0  # its place
+        self.size = 2 * (total * to // rate)
+        head = wave_head("pcm", self.size, to)
+        self.file_bytes = len(head) + self.size
+        sink(head)
+
+    def feed(self, samples: np.ndarray, end: bool = False) -> None:
+        own = np.concatenate([self.left, samples])
+        ready = len(own) if end else len(own) - 1  # samples whose right neighbour is known
+        if ready > 0:
+            first, last = -(-self.at * self.to // self.rate), min(self.size // 2, -(-(self.at + ready) * self.to // self.rate))
+            at = np.arange(first, last, dtype=np.int64) * self.rate
+            i, part = at // self.to - self.at, (at % self.to).astype(np.int32)
+            a, b = own[i].astype(np.int64), own[np.minimum(i + 1, len(own) - 1)]
+            self.sink(((a * (self.to - part) + b * part) // self.to).astype("<i2").tobytes())
+            self.at += ready
+            own = own[ready:]
+        self.left = own
+
+    def close(self) -> None:
+        self.feed(np.zeros(0, np.int16), end=True)
+
+
+class Sound:
+    """What the feature says of a text's sound, gathered slab by slab, and the digest of its stored PCM file."""
+
+    def __init__(self, codec: str, total: int):
+        self.codec, self.total, self.n, self.peak, self.energy, self.turns, self.sign = codec, total, 0, 0, 0, 0, None
+        self.sha, self.crc = hashlib.sha256(), 0
+        self.pcm = Resampler(total, self.stored)
+
+    def stored(self, piece: bytes) -> None:
+        self.sha.update(piece)
+        self.crc = zlib.crc32(piece, self.crc)
+
+    def feed(self, samples: np.ndarray) -> None:
+        x = samples.astype(np.int64)
+        low = x < 0
+        self.n += len(x)
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.energy += int(np.dot(x, x))
+        self.turns += int(np.count_nonzero(low[1:] != low[:-1])) + (self.sign is not None and self.sign != bool(low[0]))
+        self.sign = bool(low[-1])
+        self.pcm.feed(samples)
+
+    def close(self) -> tuple[str, int, str]:
+        """The feature, and the PCM file's size and digest."""
+        self.pcm.close()
+        feature = f"{self.codec}:n={self.n}:peak={self.peak}:energy={self.energy // self.n}:turns={self.turns}:pcm16k={self.crc:08x}"
+        return feature, self.pcm.file_bytes, self.sha.hexdigest()
 
 
 def codec_of(payload: bytes) -> str:
@@ -166,50 +226,65 @@ def codec_of(payload: bytes) -> str:
 
 
 def describe_all(texts: list) -> list[list]:
-    """Columns of store_media for a batch of texts; the ADPCM blocks of a batch are decoded together, slab by slab."""
-    columns: list[list] = [[] for _ in range(7)]
-    waiting: list[tuple[int, bytes]] = []
+    """Columns of media_features for a batch of texts; ADPCM blocks of several texts are decoded together, slab by slab."""
+    columns: list[list] = [[] for _ in range(9)]
+    waiting: list[tuple[int, np.ndarray]] = []  # rows and blocks, SLAB blocks at most
+    sounds: dict[int, Sound] = {}
     held = 0
 
     def settle():
         nonlocal held
-        if waiting:
-            blocks = [np.frombuffer(parse_wave(blob)[2], np.uint8).reshape(-1, BLOCK) for _, blob in waiting]
-            every = np.concatenate(blocks)
-            sound = np.concatenate([adpcm_pcm(every[i : i + SLAB]) for i in range(0, len(every), SLAB)])
-            at = 0
-            for (row, _), own in zip(waiting, blocks, strict=True):
-                samples = sound[at : at + len(own)].ravel()
-                columns[6][row] = feature(ADPCM, samples, resample(samples))
-                at += len(own)
-            waiting.clear()
-            held = 0
+        if not waiting:
+            return
+        sound = adpcm_pcm(np.concatenate([b for _, b in waiting]))
+        at = 0
+        for row, own in waiting:
+            sounds[row].feed(sound[at : at + len(own)].ravel())
+            at += len(own)
+        waiting.clear()
+        held = 0
+        for row in [r for r, s in sounds.items() if s.n == s.total]:
+            finish(row, sounds.pop(row))
+
+    def finish(row: int, sound: Sound):
+        for c, v in zip(columns[6:], sound.close(), strict=True):
+            c[row] = v
 
     for row, text in enumerate(texts):
         data = text_bytes(text)
-        payload = padded(data)
+        size, payload = len(data), padded(data)
+        del data
         codec = codec_of(payload)
         blob = store(codec, payload)
-        back = read_payload(blob)
-        values = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), ""]
+        back = read_payload(blob) if codec == ADPCM else parse_wave(blob)[2]
+        del payload
+        values = [size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), "", 0, ""]
         for c, v in zip(columns, values, strict=True):
             c.append(v)
-        if codec == ADPCM:
-            waiting.append((row, blob))
-            held += len(blob) // BLOCK
-            if held >= SLAB:
+        del back
+        sound = Sound(codec, sample_count(blob))
+        if codec != ADPCM:
+            for samples in decoded(blob):
+                sound.feed(samples)
+            finish(row, sound)
+            continue
+        sounds[row] = sound
+        blocks = np.frombuffer(parse_wave(blob)[2], np.uint8).reshape(-1, BLOCK)
+        while len(blocks):
+            own, blocks = blocks[: SLAB - held], blocks[SLAB - held :]
+            waiting.append((row, own))
+            held += len(own)
+            if held == SLAB:
                 settle()
-        else:
-            samples = pcm(blob)
-            columns[6][row] = feature(codec, samples, resample(samples))
     settle()
     return columns
 
 
 def media_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; all read back from the stored form."""
+    """key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes, pcm_sha256: all read back from
+    the stored form; the last two are of the resampled sound's PCM file."""
     kind = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     return map_rows(df, [key, text], schema, lambda keys, texts: [keys, *describe_all(texts)])
 
 
@@ -224,14 +299,20 @@ def store_media(df: DataFrame, text: str = "text", key: str = "doc_id", codec: s
     return map_rows(df, [key, text], f"`{key}` {kind}, media binary", run)
 
 
+def pcm_file(blob: bytes, rate: int = WIDE_RATE) -> bytes:
+    """The sound of a stored file as a 16-bit PCM file of the rate."""
+    pieces: list[bytes] = []
+    out = Resampler(sample_count(blob), pieces.append, parse_wave(blob)[1], rate)
+    for samples in decoded(blob):
+        out.feed(samples)
+    out.close()
+    return b"".join(pieces)
+
+
 def to_pcm(df: DataFrame, media: str = "media", key: str = "doc_id", rate: int = WIDE_RATE) -> DataFrame:
     """key, pcm binary: a 16-bit PCM WAVE file at the given rate; null media give null."""
     kind = df.schema[key].dataType.simpleString()
-
-    def run(keys, blobs):
-        return [keys, [None if b is None else wave("pcm", resample(pcm(b), parse_wave(b)[1], rate).astype("<i2").tobytes(), rate) for b in blobs]]
-
-    return map_rows(df, [key, media], f"`{key}` {kind}, pcm binary", run)
+    return map_rows(df, [key, media], f"`{key}` {kind}, pcm binary", lambda keys, blobs: [keys, [None if b is None else pcm_file(b, rate) for b in blobs]])
 
 
 def op4_media_columns(spark, sf_dir):
