@@ -9,7 +9,8 @@ and the calibrated score maps each language's threshold to DECISION, so one cut
 Training takes a bounded sample of labelled rows: at most SAMPLE_PER_CLASS of each class, those with
 the smallest hashed ids. Every text is scored whole. Null and empty texts get the score of a text
 without words; null labels or ids are not learned from; without both classes every score is the base
-rate; repeated rows each get their row; other columns are ignored, whatever their names.
+rate; repeated rows each get their row; other columns are ignored, whatever their names. Texts are read
+whole; a long one's windows are pooled piece by piece, so only its words and their numbers are held at once.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 from .common import fold, load, map_rows
 
 SAMPLE_PER_CLASS = 2500
-BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 12, 8, (1, 2)
+BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
 EPOCHS, BATCH, RATE = 6, 32, 0.08
 DECISION = 0.7
 POOL = 2
 MEMO_LIMIT = 150_000
-SLICE = 64
+#: Words that are scored at once; a longer text goes piece by piece.
+WORDS_AT_ONCE = 1 << 15
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the and of to in is that it with for was on are by this be",
@@ -110,8 +112,8 @@ def laid_out(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return starts, np.repeat(starts, lengths) + np.arange(int(lengths.sum())) - before, int((lengths + PAD).sum())
 
 
-def pooled(model: dict, vectors: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """hidden[text, span, pool, filter] and the places of the POOL strongest windows of each text and filter."""
+def pooled(model: dict, vectors: np.ndarray, starts: np.ndarray, lengths: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """hidden[text, span, pool, filter] and the places of the POOL strongest windows of each text and filter (if asked for)."""
     n, total = len(starts), len(vectors)
     hidden = np.empty((n, len(SPANS), POOL, FILTERS), np.float32)
     where = np.empty((n, len(SPANS), POOL, FILTERS), np.int64)
@@ -128,25 +130,48 @@ def pooled(model: dict, vectors: np.ndarray, starts: np.ndarray, lengths: np.nda
             own = r[f]
             for p in range(POOL):
                 best = np.maximum.reduceat(own, starts)
+                hidden[:, k, p, f] = best
+                if not places and p == POOL - 1:
+                    break
                 at = np.flatnonzero(own == np.repeat(best, sizes))
                 text = np.searchsorted(starts, at, side="right") - 1
                 first = at[np.flatnonzero(np.diff(text, prepend=-1))]
-                hidden[:, k, p, f], where[:, k, p, f] = best, first
+                where[:, k, p, f] = first
                 own[first] = -np.inf
     return np.maximum(hidden, 0), where
 
 
+def strongest(model: dict, rows: list[np.ndarray]) -> np.ndarray:
+    """hidden[text, span, pool, filter] of texts given as rows of the table; long ones piece by piece."""
+    lengths = np.array([len(r) for r in rows], np.int64)
+    out = np.empty((len(rows), len(SPANS), POOL, FILTERS), np.float32)
+    short = np.flatnonzero(lengths <= WORDS_AT_ONCE)
+    if len(short):
+        starts, places, total = laid_out(lengths[short])
+        vectors = np.zeros((total, WIDTH), np.float32)
+        if len(places):
+            vectors[places] = embed(model["table"], np.concatenate([rows[n] for n in short]))
+        out[short], _ = pooled(model, vectors, starts, lengths[short], places=False)
+    for n in np.flatnonzero(lengths > WORDS_AT_ONCE):
+        tops = []
+        for begin in range(0, len(rows[n]), WORDS_AT_ONCE):
+            part = rows[n][begin : begin + WORDS_AT_ONCE + max(SPANS) - 1]
+            last = begin + WORDS_AT_ONCE >= len(rows[n])
+            own = embed(model["table"], part)
+            own = np.concatenate([own, np.zeros((PAD, WIDTH), np.float32)]) if last else own
+            # Windows begin within the piece; those of the last piece may reach into the padding.
+            windows = len(rows[n]) - begin if last else WORDS_AT_ONCE - (POOL - 1)
+            tops.append(pooled(model, own, np.zeros(1, np.int64), np.array([windows]), places=False)[0][0])
+        every = np.concatenate(tops, axis=1)
+        out[n] = np.sort(every, axis=1)[:, ::-1][:, :POOL]
+    return out
+
+
 def raw_scores(model: dict, rows: list[np.ndarray]) -> np.ndarray:
     """Uncalibrated scores of texts given as rows of the table."""
     if not rows:
         return np.zeros(0)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    starts, places, total = laid_out(lengths)
-    vectors = np.zeros((total, WIDTH), np.float32)
-    if len(places):
-        vectors[places] = embed(model["table"], np.concatenate(rows))
-    hidden, _ = pooled(model, vectors, starts, lengths)
-    z = np.einsum("nspf,spf->n", hidden, model["out"]) + model["base"]
+    z = np.einsum("nspf,spf->n", strongest(model, rows), model["out"]) + model["base"]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -286,12 +311,25 @@ def forget() -> None:
 def _scored(model: dict, texts: list) -> list[tuple[float, int]]:
     """(calibrated score, guessed language) of each text."""
     vocabulary, out = _shared.setdefault("vocabulary", Vocabulary()), []
-    for begin in range(0, len(texts), SLICE):
-        found = [vocabulary.indexes(t) for t in texts[begin : begin + SLICE]]
+    found: list[np.ndarray] = []
+    held = 0
+
+    def settle():
+        nonlocal held
         guessed = [vocabulary.language(i) for i in found]
         raw = raw_scores(model, [vocabulary.rows[i] for i in found])
-        out += [(calibrated(float(p), model["limits"][g]), g) for p, g in zip(raw, guessed, strict=True)]
+        out.extend((calibrated(float(p), model["limits"][g]), g) for p, g in zip(raw, guessed, strict=True))
+        found.clear()
+        held = 0
         vocabulary.trim()
+
+    for t in texts:
+        found.append(vocabulary.indexes(t))
+        held += len(found[-1]) + PAD
+        if held >= WORDS_AT_ONCE:
+            settle()
+    if found:
+        settle()
     return out
 
 
