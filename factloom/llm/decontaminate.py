@@ -5,7 +5,8 @@ is one). Items are partitioned by size into classes of a factor of two. Of each
 sketch is kept, its k fixed by the class: k = slack(upper size of the class) + 1, where slack(n) is how
 many of n shingles a document may miss. A document that contains at least THRESHOLD of the item misses
 at most slack(n) of the sketch, so it hits the rest: the search has no false negatives. Candidates are
-then verified by exact shingle containment. Only DataFrame functions are used.
+then verified by exact containment: the texts of the document's and the item's shingles are compared,
+not their hashes. Only DataFrame functions are used.
 
 Null and empty items match nothing, null and empty documents hold nothing; repeated items or documents
 with one id count once, with the union of their shingles; equal hashes tie on the hash itself; empty
@@ -25,26 +26,37 @@ WORDS, PERCENT = 5, 75
 BROADCAST_ROWS = 1_000_000
 
 
-def shingles(text: Column, n: int = WORDS) -> Column:
-    """Hashes of the text's n-word shingles (with repeats)."""
+def _over_words(text: Column, shown, kind: str, n: int) -> Column:
+    """shown(words) of each of the text's n-word shingles, with repeats; kind is the result's element type."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
-    def hashed(w: Column) -> Column:
-        own = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.size(w) < n, F.array(F.xxhash64(w)))
-        return own.otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+    def each(w: Column) -> Column:
+        own = F.when(F.size(w) == 0, F.array().cast(f"array<{kind}>")).when(F.size(w) < n, F.array(shown(w)))
+        return own.otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: shown(F.slice(w, i, n))))
 
     # Bound as a lambda's variable, the words are split once per text; written out, once per shingle.
-    return F.element_at(F.transform(F.array(words), hashed), 1)
+    return F.element_at(F.transform(F.array(words), each), 1)
+
+
+def shingles(text: Column, n: int = WORDS) -> Column:
+    """Hashes of the text's n-word shingles (with repeats)."""
+    return _over_words(text, lambda w: F.xxhash64(w), "bigint", n)
+
+
+def shingle_texts(text: Column, n: int = WORDS) -> Column:
+    """The n-word shingles themselves (with repeats)."""
+    return _over_words(text, lambda w: F.concat_ws(" ", w), "string", n)
 
 
 def item_table(items: DataFrame, key: str = "item_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Rows item_id, h, n (shingles of the item), need (shared at least), k (sketch size), rank of h in the item."""
-    rows = items.select(F.col(f"`{key}`").alias("item_id"), F.explode(shingles(F.col(f"`{text}`"))).alias("h")).distinct()
+    """Rows item_id, h, s (the shingle), n (shingles of the item), need (shared at least), k (sketch size), rank of h in the item."""
+    rows = items.select(F.col(f"`{key}`").alias("item_id"), F.explode(shingle_texts(F.col(f"`{text}`"))).alias("s")).distinct()
+    rows = rows.select("item_id", "s", F.xxhash64(F.split("s", " ")).alias("h"))
     own = W.partitionBy("item_id")
-    sized = rows.select("item_id", "h", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("h")).alias("rank"))
+    sized = rows.select("item_id", "h", "s", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("h", "s")).alias("rank"))
     upper = F.pow(F.lit(2), F.floor(F.log2("n")) + 1).cast("long") - 1
     slack = lambda n: n - F.ceil(n * percent / 100)
-    return sized.select("item_id", "h", "n", "rank", F.ceil(F.col("n") * percent / 100).alias("need"), F.least(F.col("n"), slack(upper) + 1).alias("k"))
+    return sized.select("item_id", "h", "s", "n", "rank", F.ceil(F.col("n") * percent / 100).alias("need"), F.least(F.col("n"), slack(upper) + 1).alias("k"))
 
 
 def _hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -60,12 +72,12 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     found = every.join(_hinted(sketch, size), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("got"), F.first("hits").alias("hits"))
     candidates = materialize(found.where("got >= hits").select("doc_id", "item_id"))
     n = candidates.count()
-    ids = candidates.select("doc_id").distinct()
-    kept = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(_hinted(ids, n), "doc_id", "left_semi")
-    own = kept.select("doc_id", F.explode(F.array_distinct(shingles(F.col("text")))).alias("h")).distinct()
-    pairs = own.join(_hinted(candidates, n), "doc_id")
-    shared = pairs.join(_hinted(table.select("item_id", "h", "n", "need"), size), ["item_id", "h"])
-    counted = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.first("n").alias("n_item"), F.first("need").alias("need"))
+    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(_hinted(candidates, n), "doc_id")
+    whole = table.groupBy("item_id").agg(F.collect_list("s").alias("own"), F.first("n").alias("n_item"), F.first("need").alias("need"))
+    pairs = texts.join(_hinted(whole, size), "item_id")
+    shared = pairs.select("doc_id", "item_id", "n_item", "need", F.array_intersect(shingle_texts(F.col("text")), F.col("own")).alias("shared"))
+    # Rows of one id count as one document.
+    counted = shared.groupBy("doc_id", "item_id", "n_item", "need").agg(F.size(F.array_distinct(F.flatten(F.collect_list("shared")))).alias("n_shared"))
     return counted.where("n_shared >= need").select("doc_id", "item_id", F.col("n_item").cast("long"), F.col("n_shared").cast("long"))
 
 
