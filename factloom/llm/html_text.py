@@ -8,7 +8,8 @@ comments and so on in random word soup) whose labels are known.
 
 Character references are decoded, white space in a block becomes one space, main blocks are joined in
 page order by a newline. Null and empty pages give an empty text; pages of any length are read whole
-(batches of pages are bounded by their blocks); unclosed and wrongly nested tags are closed as browsers
+(pages run together up to BLOCKS_AT_ONCE blocks; a longer page goes through the network in slabs, forward
+and then backward, with only a number kept for each block); unclosed and wrongly nested tags are closed as browsers
 do in the main; repeated rows each get their row; other columns are ignored.
 """
 
@@ -99,6 +100,10 @@ def blocks(html: str | None) -> list[tuple[tuple, str, float]]:
     return out
 
 
+def forget() -> None:
+    path_vector.cache_clear()
+
+
 @lru_cache(maxsize=20_000)
 def path_vector(path: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Cells and weights of a path: each element's tag and names, the nearest and the outermost marked."""
@@ -146,11 +151,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def run_lstm(weights: dict, side: str, x: np.ndarray, live: np.ndarray, keep: bool = False):
-    """States [t, page, HIDDEN] of x [t, page, INPUT]; states stop changing behind a page's end."""
+def run_lstm(weights: dict, side: str, x: np.ndarray, live: np.ndarray, keep: bool = False, state: list | None = None):
+    """States [t, page, HIDDEN] of x [t, page, INPUT]; states stop changing behind a page's end.
+
+    state: the hidden and cell states to begin with, replaced by the last ones.
+    """
     steps, n, _ = x.shape
     z_x = (x.reshape(-1, INPUT) @ weights[f"{side}_x"] + weights[f"{side}_b"]).reshape(steps, n, 4 * HIDDEN)
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, tape = np.zeros((steps, n, HIDDEN), np.float32), []
     for t in range(steps):
         z = z_x[t] + h @ weights[f"{side}_h"]
@@ -164,6 +172,8 @@ def run_lstm(weights: dict, side: str, x: np.ndarray, live: np.ndarray, keep: bo
             tape.append((h, c, i, f, o, g, wide))
         h, c = np.where(m, o * wide, h), np.where(m, c_new, c)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return (out, tape) if keep else out
 
 
@@ -227,6 +237,44 @@ def main_blocks(weights: dict, pages: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def main_blocks_of_long(weights: dict, found: list) -> np.ndarray:
+    """Which blocks of one long page are main text: both directions slab by slab, the state handed on."""
+    z = np.zeros(len(found), np.float32)
+    begins = range(0, len(found), BLOCKS_AT_ONCE)
+    for side, slabs, out in (("fore", begins, weights["out"][:HIDDEN]), ("back", reversed(begins), weights["out"][HIDDEN:])):
+        state = [np.zeros((1, HIDDEN), np.float32) for _ in range(2)]
+        for i in slabs:
+            x = vectors(found[i : i + BLOCKS_AT_ONCE])
+            own = x if side == "fore" else x[::-1]
+            h = run_lstm(weights, side, own[:, None], np.ones((len(x), 1), bool), state=state)[:, 0] @ out
+            z[i : i + len(x)] += (h + x @ weights["skip"] + weights["base"]) if side == "fore" else h[::-1]
+    return z > 0
+
+
+def label_pages(weights: dict, found: list[list]) -> list[np.ndarray]:
+    """For each page's blocks which are main text; no more than BLOCKS_AT_ONCE blocks have their vectors at a time."""
+    out: list = [np.zeros(0, bool)] * len(found)
+    group: list[int] = []
+    held = 0
+
+    def settle():
+        for n, mark in zip(group, main_blocks(weights, [vectors(found[n]) for n in group]), strict=True):
+            out[n] = mark
+        group.clear()
+
+    for n, own in enumerate(found):
+        if len(own) > BLOCKS_AT_ONCE:
+            out[n] = main_blocks_of_long(weights, own)
+        elif own:
+            if held + len(own) > BLOCKS_AT_ONCE:
+                settle()
+                held = 0
+            group.append(n)
+            held += len(own)
+    settle()
+    return out
+
+
 # Generated training pages.
 
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ent ung sch keit ver que ment eau ción os la el é ü ñ".split()
@@ -363,7 +411,7 @@ def extract(df: DataFrame, html: str = "html", key: str = "page_id", url: str =
 
     def run(keys, urls, pages):
         found = [blocks(p) for p in pages]
-        chosen = main_blocks(sent.value, [vectors(b) for b in found])
+        chosen = label_pages(sent.value, found)
         texts = ["\n".join(b[1] for b, m in zip(own, mark, strict=True) if m) for own, mark in zip(found, chosen, strict=True)]
         return [keys, urls, texts, [len(t) for t in texts]]
 
