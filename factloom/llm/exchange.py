@@ -68,7 +68,7 @@ def requests(batch: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> lis
 
 def bucket_bits(parts: int) -> int:
     """Buckets follow the number of input partitions: some for each, 64 at least, so that a bucket's size doesn't grow."""
-    return min(24, max(6, (8 * parts - 1).bit_length()))
+    return min(24, max(6, (4 * parts - 1).bit_length()))
 
 
 def answer_schema() -> pa.Schema:

@@ -264,11 +264,11 @@ def join_block(sids: list, sizes: list[int], sets: list[np.ndarray], groups: lis
 
 
 def _search(table: pa.Table) -> pa.Table:
-    sids, first = table["sid"].to_pylist(), table["first"].to_pylist()
-    rows = table.take(pa.array(sorted(range(len(sids)), key=lambda i: (not first[i], sids[i]))))
+    order = np.lexsort((table["sid"].to_numpy(), ~table["first"].to_numpy(zero_copy_only=False)))
+    rows = table.take(pa.array(order))
     sets = [np.frombuffer(s, np.uint64) for s in rows["shared"].to_pylist()]
     edges = join_block(rows["sid"].to_pylist(), rows["n"].to_pylist(), sets, rows["group"].to_pylist())
-    return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
 def similar_sets(cand: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     heads = parts.select(F.col("first_sid").alias("sid"), F.col("first_sid").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"))
     sets = cand.select("sid", "n", "shared")
     rows = dealt.unionByName(heads).join(sets, "sid").withColumn("group", F.col("sid"))
-    near = materialize(rows.groupBy("block", "part").applyInArrow(_search, "a binary, b binary"))
+    near = materialize(rows.groupBy("block", "part").applyInArrow(_search, "a long, b long"))
 
     # Keys whose sets still lie in different components.
     roots = connected_components(near)
@@ -298,10 +298,10 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     small = kin.where(F.col("members") <= FAMILY).select("sid", "root")
     rows = small.join(sets, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("own")), "sid", "left")
     rows = rows.select("sid", "n", "shared", F.coalesce("own", "sid").alias("group"), F.lit(False).alias("first"), "root")
-    within = materialize(rows.groupBy("root").applyInArrow(_search, "a binary, b binary"))
+    within = materialize(rows.groupBy("root").applyInArrow(_search, "a long, b long"))
     mine = roots.select(F.col("node").alias("sid"), F.col("root").alias("own"))
     middle = kin.where(F.col("members").between(FAMILY + 1, WIDE)).join(mine, "sid", "left").select(F.col("root").alias("token"), "sid", F.coalesce("own", "sid").alias("group"))
-    open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select(F.unhex(F.hex("token")).alias("token"), "sid", "group"))
+    open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select("token", "sid", "group"))
     # A piece holds whole groups where they are small, and a slice of one group where it is large.
     held = open_.groupBy("token", "group").agg(F.count("*").alias("k"))
     held = held.join(held.groupBy("token").agg(F.sum(F.when(F.col("k") <= BLOCK, F.col("k")).otherwise(0)).alias("few")), "token")
@@ -316,7 +316,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     left = placed.join(pairs, ["token", "piece"]).select("token", "piece", "piece2", "sid", "group")
     right = placed.withColumnRenamed("piece", "piece2").join(pairs.where("piece <> piece2"), ["token", "piece2"]).select("token", "piece", "piece2", "sid", "group")
     rows = left.unionByName(right).withColumn("first", F.lit(False)).join(sets, "sid")
-    rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a binary, b binary"))
+    rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a long, b long"))
     return near.unionByName(within).unionByName(rest)
 
 
@@ -326,7 +326,7 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of jaccard_groups with sid, the id of the text's set (null: no words), and root, a set of its component."""
+    """The rows of jaccard_groups with sid, the id of the text's set (null: no words), and root, the least of its component."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bits = bucket_bits(input_parts(rows))
     scan = materialize(scan_sets(rows, bits))
@@ -348,11 +348,13 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     sets = materialize(picked.mapInArrow(whole, "sid binary, shared binary"))
     shared = materialize(scan_shared(sets.dropDuplicates(["sid"]), bits))
     answers = total_counts(shared.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
-    cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid binary, n long, shared binary, keys array<long>"))
-    roots = connected_components(similar_sets(cand))
+    # Sets that may link get numbers of their own, which are fixed by being written; the search knows them by these.
+    cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid binary, n long, shared binary, keys array<long>").withColumn("number", F.monotonically_increasing_id()))
+    roots = connected_components(similar_sets(cand.select(F.col("number").alias("sid"), "n", "shared", "keys")))
 
-    grouped = lowest.join(roots.withColumnRenamed("node", "sid"), "sid").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = roots.join(grouped, "root").select(F.col("node").alias("sid"), "root", "component_id")
+    numbers = cand.select(F.col("number").alias("node"), "sid").join(roots, "node")
+    grouped = lowest.join(numbers, "sid").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("sid").alias("root_sid"))
+    by_set = numbers.join(grouped, "root").select("sid", F.col("root_sid").alias("root"), "component_id")
     every = lowest.join(by_set, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
     every = every.where("sid is not null")
     return numbered.join(every, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "sid", "root")
