@@ -118,9 +118,23 @@ def cross_context(nodes: DataFrame, sets: DataFrame, self_concurrent: DataFrame)
     return by.select("node", "contexts", ((F.col("k") > 1) | F.col("twice").isNotNull()).alias("crosses"))
 
 
+#: Variables and locations whose storage outlives a call.
+STATIC = ("global", "file_static", "fn_static")
+
+
 def sharing(nodes: DataFrame) -> DataFrame:
-    """Rows id, sharing: a constant, private to one function's locals, or shared (Q23). nodes: id, kind, var_kind."""
-    kind = F.when(F.col("kind").isin("constant", "call_target"), "constant").when(F.col("var_kind").isin("local", "param"), "private").otherwise("shared")
+    """Rows id, sharing (Q23): variables of static storage are shared, constants and the addresses of functions and string literals
+    constant, locations of a call's own storage (a local's, a field of a local or parameter) private, other locations shared, all else private.
+
+    nodes: id, kind, var_kind, loc_kind (of locations).
+    """
+    loc = F.col("kind") == "loc"
+    own = (F.col("loc_kind") == "local") | ((F.col("loc_kind") == "field") & F.col("var_kind").isin("local", "param"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    kind = (
+        F.when(yes((F.col("kind") == "var") & F.col("var_kind").isin(*STATIC)), "shared").when(F.col("kind") == "constant", "constant")
+        .when(yes(loc & F.col("loc_kind").isin("function", "string_lit")), "constant").when(yes(loc & own), "private").when(loc, "shared").otherwise("private")
+    )
     return nodes.select("id", kind.alias("sharing"))
 
 

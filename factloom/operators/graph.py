@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factloom.operators.loop import compact, cut, grow, hinted
+from factloom.operators.loop import compact, cut, cut_counted, discard, grow, hinted
 from factloom.operators.relational import matches_any
 from factloom.sources.facts import FactSet
 
@@ -61,21 +61,22 @@ def chains(edges: DataFrame, start: int, end: int, depth: int, limit: int | None
     """Simple paths of at most depth edges from start to end: rows length, nodes, edges; and whether the limit cut some off (Q6).
 
     A path stops at the end. With start = end there are the empty path and the cycles back. Parallel edges give
-    paths of their own. With a limit, the first paths in the order of their edge lists are kept (O6); the result
-    is ordered by length, then nodes (O5). edges has id, a, b.
+    paths of their own. Only nodes from which the end is near enough are walked on to. With a limit, the first
+    paths in the order of their edge lists are kept (O6). The result is ordered by length, then nodes (O5).
+    edges has id, a, b.
     """
     spark = edges.sparkSession
-    e = edges.select("a", F.struct("b", "id").alias("e"))
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
+    near = neighbourhood(back, spark.createDataFrame([(end,)], "id long"), depth).nodes.select(F.col("id").alias("b"), F.col("depth").alias("left"))
+    e = cut(edges.join(near, "b").where(F.col("left") < depth).select("a", F.struct("b", "id").alias("e"), "left"))
     live = cut(spark.createDataFrame([(start, [start], [])], "at long, nodes array<long>, edges array<struct<b:long,id:long>>"))
     done = [live.where(F.lit(start == end))]
-    for _ in range(depth):
-        n = live.count()
+    for used in range(1, depth + 1):
+        to = F.col("e.b")
+        step = live.join(e.where(F.col("left") <= depth - used), F.col("at") == F.col("a")).where((to == end) | ~F.array_contains("nodes", to))
+        step, n = cut_counted(step.select(to.alias("at"), F.concat("nodes", F.array(to)).alias("nodes"), F.concat("edges", F.array("e")).alias("edges")))
         if not n:
             break
-        step = hinted(live, n).join(e, F.col("at") == F.col("a"))
-        to = F.col("e.b")
-        step = step.where((to == end) | ~F.array_contains("nodes", to)).select(to.alias("at"), F.concat("nodes", F.array(to)).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
-        step = cut(step)
         done.append(step.where(F.col("at") == end))
         live = step.where(F.col("at") != end)
     paths = done[0]
@@ -158,26 +159,49 @@ def derives_from(inheritance: DataFrame, base: int) -> DataFrame:
     return reachable(down, first)
 
 
+#: Rounds in which nodes without edges in or out are taken off before labels are sent.
+TRIMS = 6
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """Rows id, component (its least node) over edges (a, b).
 
-    Forward and backward least-label walks: nodes whose least label from ahead and from behind is one and the
-    same node lie on a cycle with it. Settled components leave; the rest go on without edges between
+    Nodes that nothing enters or leaves are components of their own and go first, a bounded number of times.
+    Then forward and backward least-label walks: nodes whose least label from ahead and from behind is one and
+    the same node lie on a cycle with it. Settled components leave; the rest go on without edges between
     different label pairs, so each round only looks inside pieces that may still hold components.
     """
-    e = cut(edges.select("a", "b").distinct())
+    e, n = cut_counted(edges.select("a", "b").distinct())
     left = cut(e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct())
     done = None
-    e = e.where("a <> b")
+
+    def settle(rows: DataFrame) -> None:
+        nonlocal done
+        done = rows if done is None else done.unionByName(rows)
+
+    e, n = cut_counted(e.where("a <> b"))
     while True:
+        for _ in range(TRIMS):
+            marks = e.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+            inner, k = cut_counted(marks.groupBy("id").agg(F.max("out").alias("out"), F.max("into").alias("into")).where("out = 1 and into = 1").select("id"))
+            gone, g = cut_counted(left.join(hinted(inner, k), "id", "left_anti"))
+            if not g:
+                break
+            settle(gone.select("id", F.col("id").alias("component")))
+            left = inner
+            e, n = cut_counted(compact(e.join(hinted(inner.withColumnRenamed("id", "a"), k), "a", "left_semi").join(hinted(inner.withColumnRenamed("id", "b"), k), "b", "left_semi").select("a", "b"), n))
+            if not n:
+                break
+        if not n:
+            settle(left.select("id", F.col("id").alias("component")))
+            return done
         labels = cut(_least_labels(e, left, "a", "b").join(_least_labels(e, left, "b", "a").withColumnRenamed("label", "back"), "id"))
-        settled = cut(labels.where("label = back").select("id", F.col("label").alias("component")))
-        done = settled if done is None else done.unionByName(settled)
-        left = cut(labels.where("label <> back").select("id", "label", "back"))
-        if left.isEmpty():
+        settle(labels.where("label = back").select("id", F.col("label").alias("component")))
+        left, open_ = cut_counted(labels.where("label <> back").select("id", "label", "back"))
+        if not open_:
             return done
         pair = lambda side: left.select(F.col("id").alias(side), F.col("label").alias(f"{side}1"), F.col("back").alias(f"{side}2"))
-        e = cut(e.join(pair("a"), "a").join(pair("b"), "b").where("a1 = b1 and a2 = b2").select("a", "b"))
+        e, n = cut_counted(e.join(pair("a"), "a").join(pair("b"), "b").where("a1 = b1 and a2 = b2").select("a", "b"))
         left = left.select("id")
 
 
@@ -188,6 +212,7 @@ def _least_labels(e: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         sent = delta.join(e, F.col("id") == F.col(a)).groupBy(F.col(b).alias("to")).agg(F.min("label").alias("new"))
         rows = cut(labels.join(sent, F.col("id") == F.col("to"), "left").select("id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
+        discard(labels)
         labels, delta = rows.select("id", "label"), rows.where("changed").select("id", "label")
         n = delta.count()
         if not n:
@@ -196,20 +221,28 @@ def _least_labels(e: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def waves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows id, wave: a node's wave comes after those of all it depends on (edges a -> b); null for what hangs on a cycle (Q35)."""
-    e = edges.select("a", "b").where("a <> b").distinct()
-    left, out, wave = cut(nodes.select("id").distinct()), None, 0
-    while True:
-        blocked = e.join(left.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        ready = cut(left.join(blocked, "id", "left_anti"))
-        n = ready.count()
+    """Rows id, wave: a node's wave comes after those of all it depends on (edges a -> b); null for what hangs on a cycle (Q35).
+
+    Each round takes the nodes without open dependencies off and the edges into them with them: edges and nodes only shrink.
+    """
+    e, open_ = cut_counted(edges.select("a", "b").where("a <> b").distinct())
+    left, n_left = cut_counted(nodes.select("id").distinct())
+    out, wave = None, 0
+    while n_left:
+        rows, _ = cut_counted(left.join(e.select(F.col("a").alias("id"), F.lit(False).alias("free")).distinct(), "id", "left").select("id", F.coalesce("free", F.lit(True)).alias("free")))
+        ready, n = cut_counted(rows.where("free").select("id"))
         if not n:
-            rest = left.select("id", F.lit(None).cast("long").alias("wave"))
-            return rest if out is None else out.unionByName(rest)
-        rows = ready.select("id", F.lit(wave).cast("long").alias("wave"))
-        out = rows if out is None else out.unionByName(rows)
-        left = cut(compact(left.join(hinted(ready, n), "id", "left_anti"), 1))
+            break
+        own = ready.select("id", F.lit(wave).cast("long").alias("wave"))
+        out = own if out is None else out.unionByName(own)
+        n_left -= n
+        left = rows.where("not free").select("id")
+        if open_:
+            old, (e, open_) = e, cut_counted(compact(e.join(hinted(ready.withColumnRenamed("id", "b"), n), "b", "left_anti").select("a", "b"), open_))
+            discard(old)
         wave += 1
+    rest = left.select("id", F.lit(None).cast("long").alias("wave"))
+    return rest if out is None else out.unionByName(rest)
 
 
 def shallowest(rows: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:

@@ -10,21 +10,54 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most so many rows.
 BROADCAST_ROWS = 500_000
+#: Deltas that a growing table is read from at most.
+COMPACT_EVERY = 8
 #: Rows that one partition of an intermediate table should hold.
 ROWS_A_PART = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where none is set (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of this machine, but only under a local master."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (found or "/tmp/checkpoints/factloom").rstrip("/")
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "/tmp/checkpoints/factloom"
+    return found.rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of the path, the path) in the JVM."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path for a new intermediate table, in a folder of this application's that goes when it ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    files, place = _file_system(spark, folder)
+    if not files.exists(place):
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written and reread: later plans start at its files, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() made and that no plan will read again."""
+    path = df.__dict__.pop("_scratch", None)
+    if path:
+        files, place = _file_system(df.sparkSession, path)
+        files.delete(place, True)
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -47,10 +80,11 @@ def compact(df: DataFrame, rows: int) -> DataFrame:
 def grow(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], keys: list[str], limit: int | None = None) -> tuple[DataFrame, int]:
     """Semi-naive closure: step(delta, known, round) proposes rows, new ones by keys become the next delta.
 
-    Returns all rows and the number of rounds. limit bounds the rounds.
+    Returns all rows and the number of rounds. limit bounds the rounds. Deltas are kept as they are and put together
+    every COMPACT_EVERY rounds; what they were made of is deleted then.
     """
     known, total = cut_counted(start.dropDuplicates(keys))
-    delta, rounds = known, 0
+    delta, rounds, parts = known, 0, [known]
     new = total
     while new and (limit is None or rounds < limit):
         rounds += 1
@@ -58,5 +92,12 @@ def grow(start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame
         delta, new = cut_counted(found.join(hinted(known.select(*keys), total), keys, "left_anti"))
         total += new
         if new:
-            known = cut(compact(known.unionByName(delta), total)) if rounds % 4 == 0 else known.unionByName(delta)
+            parts.append(delta)
+            known = known.unionByName(delta)
+            if len(parts) > COMPACT_EVERY:
+                known, old = cut(compact(known, total)), parts
+                parts = [known]
+                for part in old:
+                    if part is not delta:
+                        discard(part)
     return known, rounds

@@ -44,9 +44,9 @@ def matches_any(c: Column, patterns: list[str]) -> Column:
 
 
 def call_rows(facts: FactSet) -> DataFrame:
-    """Every call edge with both functions, their files, and where the call is spelled and expanded."""
+    """Every call edge whose functions have files, and where the call is spelled and expanded, if anywhere."""
     f, files = facts.require("functions"), facts.require("files").select("id", "path")
-    side = lambda p: f.join(files.withColumnRenamed("id", "file_id"), "file_id", "left").select(
+    side = lambda p: f.join(files.withColumnRenamed("id", "file_id"), "file_id").select(
         *[F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "path", "line_start", "is_dep", "is_defined")]
     )
     spelled = files.select(F.col("id").alias("file_id"), F.col("path").alias("site_path"))
@@ -62,20 +62,25 @@ def call_rows(facts: FactSet) -> DataFrame:
 
 
 def calls(facts: FactSet, from_: str | None = None, to: str | None = None, file: str | None = None, exclude_deps: bool = False) -> DataFrame:
-    """Call edges, filtered by caller, callee, file text and dependencies; those with a site first, then by place (Q1, O1)."""
+    """Call edges, filtered by caller, callee, file text and dependencies; those with a site first, then by place (Q1, O1).
+
+    A file text is looked for where the call is spelled or expanded, in the callee's own file if it has a place there,
+    and in the caller's file only for an edge without a site.
+    """
     rows = call_rows(facts)
     if from_:
         rows = rows.where(names_function(F.col("caller_name"), from_))
     if to:
         rows = rows.where(names_function(F.col("callee_name"), to))
     if file:
-        in_callee = contains_ascii_folded(F.col("callee_path"), file) & has_location(F.col("callee_line_start"))
-        rows = rows.where(contains_ascii_folded(F.col("caller_path"), file) | in_callee)
+        held = lambda p: F.coalesce(contains_ascii_folded(F.col(p), file), F.lit(False))
+        in_callee = held("callee_path") & has_location(F.col("callee_line_start"))
+        rows = rows.where(held("site_path") | held("expansion_path") | in_callee | (F.col("call_site_id").isNull() & held("caller_path")))
     if exclude_deps:
         rows = rows.where((F.col("caller_is_dep") == 0) & (F.col("callee_is_dep") == 0))
     path, line = F.coalesce("expansion_path", "site_path"), F.coalesce("expansion_line", "line")
     picked = rows.select("id", F.col("caller_name").alias("caller"), F.col("callee_name").alias("callee"), "resolution", path.alias("path"), line.alias("line"), F.coalesce("expansion_col", "col").alias("col"))
-    return picked.orderBy(F.col("path").isNull(), "path", "line", "id")
+    return picked.orderBy(F.col("path").isNull(), "path", "line", "id")  # without a spelling there is no expansion
 
 
 def display_filter(rows: DataFrame, patterns: list[str]) -> DataFrame:
@@ -211,12 +216,14 @@ def flow_nodes_of(facts: FactSet, variables: DataFrame) -> DataFrame:
 
 
 def node_labels(facts: FactSet) -> DataFrame:
-    """Labels of flow nodes from node, variable or function."""
-    v = facts["variables"].select(F.col("id").alias("var_id"), F.col("name").alias("var_name"), F.col("fn_id").alias("var_fn"))
+    """Label and detail of flow nodes; a variable's node without its own gets them from the variable and its function."""
+    v = facts["variables"].select(F.col("id").alias("var_id"), F.col("name").alias("var_name"), F.col("kind").alias("var_kind"), F.col("line").alias("var_line"), F.col("fn_id").alias("var_fn"))
     f = facts["functions"].select(F.col("id").alias("owner"), F.col("name").alias("fn_name"))
-    rows = facts["flow_nodes"].join(v, "var_id", "left").withColumn("owner", F.coalesce("fn_id", "var_fn")).join(f, "owner", "left")
-    text = F.coalesce("label", "var_name", F.concat(F.lit("node"), "id"))
-    return rows.select("id", "kind", F.when(F.col("fn_name").isNotNull(), F.concat(text, F.lit(" in "), F.col("fn_name"))).otherwise(text).alias("label"))
+    rows = facts.require("flow_nodes").join(v, "var_id", "left").withColumn("owner", F.coalesce("fn_id", "var_fn")).join(f, "owner", "left")
+    bare = lambda c: (F.col("kind") == "var") & (F.coalesce(F.col(c), F.lit("")) == "")
+    name = F.coalesce("var_name", F.concat(F.lit("var"), F.coalesce("var_id", "id")))
+    where = F.concat("var_kind", F.lit(" @"), "var_line", F.coalesce(F.concat(F.lit(" in "), "fn_name"), F.lit("")))
+    return rows.select("id", "kind", F.when(bare("label"), name).otherwise(F.col("label")).alias("label"), F.when(bare("detail"), F.coalesce(where, F.lit(""))).otherwise(F.col("detail")).alias("detail"))
 
 
 # Unresolved calls.

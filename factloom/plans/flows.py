@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 from factloom.operators import dataflow as D
 from factloom.operators import sequence as Q
 from factloom.plans.registry import facts_query
-from factloom.sources.facts import ADAPTER, WHOLE
+from factloom.sources.facts import ADAPTER
 
-ADAPTER["cfg_edges"] = """select distinct user_id % 60 cfg_id, event_id % 7 src, (event_id * 3 + user_id) % 7 dst from {events} where event_id % 25 = 0
-    union select distinct user_id % 60, cast(0 as bigint), event_id % 7 from {events} where event_id % 50 = 7"""
-ADAPTER["cfg_events"] = "select user_id % 60 cfg_id, event_id event, event_id % 7 block, event_id % 4 ordinal from {events} where event_id % 40 = 0"
-ADAPTER["cfg_calls"] = "select event_id event, case when event_id % 3 = 0 then cast(null as bigint) else (event_id * 7) % 70 end callee from {events} where event_id % 40 = 0"
 #: One graph a user, of all their events: function-sized, however many users there are. Control enters at the first event.
-WHOLE["cfg_edges"] = """select distinct user_id cfg_id, event_id % 7 src, (event_id * 3 + user_id) % 7 dst from {events}
+ADAPTER["cfg_edges"] = """select distinct user_id cfg_id, event_id % 7 src, (event_id * 3 + user_id) % 7 dst from {events}
     union select user_id, cast(0 as bigint), min(event_id) % 7 from {events} group by user_id"""
-WHOLE["cfg_events"] = "select user_id cfg_id, event_id event, event_id % 7 block, event_id % 4 ordinal from {events}"
-WHOLE["cfg_calls"] = "select event_id event, case when event_id % 3 = 0 then cast(null as bigint) else (event_id * 7) % (select max(user_id) + 10 from {events}) end callee from {events}"
+ADAPTER["cfg_events"] = "select user_id cfg_id, event_id event, event_id % 7 block, event_id % 4 ordinal from {events}"
+ADAPTER["cfg_calls"] = "select event_id event, case when event_id % 3 = 0 then cast(null as bigint) else (event_id * 7) % (select max(user_id) + 10 from {events}) end callee from {events}"
 CFG = ("cfg_edges", "cfg_events")
 
 _REACH = """reach(cfg_id, a, b) AS (SELECT cfg_id, src, dst FROM cfg_edges UNION SELECT r.cfg_id, r.a, e.dst FROM reach r JOIN cfg_edges e ON e.cfg_id = r.cfg_id AND e.src = r.b),
@@ -41,12 +37,12 @@ def _combined(f):
     return Q.combined(_relations(f).withColumn("k", F.col("a") % 80), ["cfg_id", "k"])
 
 
-@facts_query("q25_event_relations", f"WITH {_REACH}, {_RELATE} SELECT * FROM rel", *CFG, recursive=True, whole=_relations)
+@facts_query("q25_event_relations", f"WITH {_REACH}, {_RELATE} SELECT * FROM rel", *CFG, recursive=True)
 def q25(f):
     return _relations(f)
 
 
-@facts_query("q26_dominators", f"WITH {_REACH} SELECT cfg_id, b AS block, d AS dominator FROM dom", *CFG, recursive=True, whole=lambda f: Q.dominator_pairs(f["cfg_edges"]))
+@facts_query("q26_dominators", f"WITH {_REACH} SELECT cfg_id, b AS block, d AS dominator FROM dom", *CFG, recursive=True)
 def q26(f):
     return Q.dominator_pairs(f["cfg_edges"])
 
@@ -57,13 +53,13 @@ def q26(f):
     SELECT cfg_id, k, CASE WHEN len(r) = 1 THEN r[1] WHEN list_contains(r, 'unknown') THEN 'unknown' WHEN len(list_filter(r, lambda x: x NOT IN ('sequenced_before', 'guaranteed_before'))) = 0 THEN 'guaranteed_before'
       WHEN list_has_any(r, ['sequenced_before', 'guaranteed_before', 'may_precede', 'may_both', 'unordered']) AND list_has_any(r, ['may_follow', 'may_both', 'unordered']) THEN 'may_both'
       WHEN list_has_any(r, ['sequenced_before', 'guaranteed_before', 'may_precede', 'may_both', 'unordered']) THEN 'may_precede' WHEN list_has_any(r, ['may_follow', 'may_both', 'unordered']) THEN 'may_follow' ELSE 'exclusive' END AS relation FROM s""",
-    *CFG, recursive=True, whole=_combined,
+    *CFG, recursive=True,
 )
 def q28(f):
     return _combined(f)
 
 
-@facts_query("q31_unordered_runs", "SELECT cfg_id, block, ordinal, list(event ORDER BY event) AS events FROM cfg_events GROUP BY 1, 2, 3 HAVING count(*) > 1", *CFG, whole=lambda f: Q.unordered_runs(f["cfg_events"]))
+@facts_query("q31_unordered_runs", "SELECT cfg_id, block, ordinal, list(event ORDER BY event) AS events FROM cfg_events GROUP BY 1, 2, 3 HAVING count(*) > 1", *CFG)
 def q31(f):
     return Q.unordered_runs(f["cfg_events"])
 
@@ -75,7 +71,7 @@ def q31(f):
       SELECT c.callee, e.event, f.depth + 1, CASE WHEN c.callee IS NULL THEN 'unknown_callee' WHEN list_contains(f.above, c.callee) THEN 'recursion' WHEN b.cfg_id IS NULL THEN 'omitted_body' END, list_append(f.above, c.callee)
       FROM fr f JOIN cfg_events e ON e.cfg_id = f.cfg_id JOIN cfg_calls c ON c.event = e.event LEFT JOIN body b ON b.cfg_id = c.callee WHERE f.boundary IS NULL AND f.depth < 3)
     SELECT cfg_id, event, depth, boundary FROM fr ORDER BY depth, event NULLS FIRST, cfg_id NULLS FIRST LIMIT 32""",
-    "cfg_events", "cfg_calls", recursive=True, whole=lambda f: Q.inline(f["cfg_events"], f["cfg_calls"], 20, 3),
+    "cfg_events", "cfg_calls", recursive=True,
 )
 def q29(f):
     return Q.inline(f["cfg_events"], f["cfg_calls"], 20, 3)
@@ -86,7 +82,7 @@ _HIDDEN = "h AS (SELECT id FROM flow_nodes WHERE kind = 'loc' OR id % 11 = 3)"
 
 @facts_query(
     "q11_visible_neighbourhood",
-    f"""WITH {_HIDDEN}, s AS (SELECT id FROM flow_nodes WHERE id IN (0, 9)),
+    f"""WITH {_HIDDEN}, s AS (SELECT id FROM flow_nodes WHERE label = 'v22'),
     w(id, level) AS (SELECT id, 0 FROM s UNION SELECT e.dst_node, w.level + CASE WHEN w.id IN (SELECT id FROM h) OR w.id IN (SELECT id FROM s) THEN 0 ELSE 1 END FROM w JOIN flow_edges e ON e.src_node = w.id
       WHERE w.level + CASE WHEN w.id IN (SELECT id FROM h) OR w.id IN (SELECT id FROM s) THEN 0 ELSE 1 END <= 3) SELECT id, min(level) AS level FROM w GROUP BY id""",
     "flow_nodes", "flow_edges", recursive=True,
@@ -94,7 +90,7 @@ _HIDDEN = "h AS (SELECT id FROM flow_nodes WHERE kind = 'loc' OR id % 11 = 3)"
 def q11(f):
     e = f["flow_edges"].select(F.col("src_node").alias("a"), F.col("dst_node").alias("b"))
     n = f["flow_nodes"]
-    return D.visible_neighbourhood(e, n.where("id in (0, 9)").select("id"), n.where("kind = 'loc' or id % 11 = 3").select("id"), 3)
+    return D.visible_neighbourhood(e, n.where("label = 'v22'").select("id"), n.where("kind = 'loc' or id % 11 = 3").select("id"), 3)
 
 
 @facts_query(
@@ -111,13 +107,13 @@ def q12(f):
 
 @facts_query(
     "q18_value_slice",
-    """WITH e AS (SELECT DISTINCT src_node AS a, dst_node AS b FROM flow_edges WHERE kind IN ('copy', 'call_arg')), up(id) AS (SELECT CAST(45 AS BIGINT) UNION SELECT e.a FROM up JOIN e ON e.b = up.id),
-    src AS (SELECT id FROM up WHERE id NOT IN (SELECT b FROM e) UNION SELECT 45), down(id) AS (SELECT id FROM src UNION SELECT e.b FROM down JOIN e ON e.a = down.id)
+    """WITH e AS (SELECT DISTINCT src_node AS a, dst_node AS b FROM flow_edges WHERE kind IN ('copy', 'call_arg')), st AS (SELECT id FROM flow_nodes WHERE label = 'v22'), up(id) AS (SELECT id FROM st UNION SELECT e.a FROM up JOIN e ON e.b = up.id),
+    src AS (SELECT id FROM up WHERE id NOT IN (SELECT b FROM e) UNION SELECT id FROM st), down(id) AS (SELECT id FROM src UNION SELECT e.b FROM down JOIN e ON e.a = down.id)
     SELECT coalesce(u.id, d.id) AS id, CASE WHEN u.id IS NULL THEN 'down' WHEN d.id IS NULL THEN 'up' ELSE 'both' END AS side FROM up u FULL JOIN down d ON u.id = d.id""",
     "flow_nodes", "flow_edges", recursive=True,
 )
 def q18(f):
-    return D.value_slice(f["flow_edges"], f["flow_nodes"].where("id = 45").select("id"))
+    return D.value_slice(f["flow_edges"], f["flow_nodes"].where("label = 'v22'").select("id"))
 
 
 @facts_query(
@@ -130,7 +126,7 @@ def q20(f):
     return D.memory_edges(e.select("kind", F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), F.when(F.col("kind") == "store", F.col("dst_node")).otherwise(F.col("src_node")).alias("cell")))
 
 
-_CONTEXTS = """WITH e AS (SELECT src AS a, dst AS b FROM includes), c AS (SELECT s_suppkey AS id, s_suppkey * 4 % 25 AS entry FROM supplier WHERE s_suppkey < 4),
+_CONTEXTS = """WITH e AS (SELECT src AS a, dst AS b FROM includes), c AS (SELECT id + 1 AS id, id * 4 % 25 AS entry, self_concurrent FROM execution_contexts),
   st(fn, context) AS (SELECT entry, id FROM c UNION SELECT e.b, st.context FROM st JOIN e ON e.a = st.fn),
   r(s, t) AS (SELECT id, id FROM files UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.t),
   roots AS (SELECT id FROM files f WHERE NOT EXISTS (SELECT * FROM r WHERE r.t = f.id AND r.s <> f.id AND NOT EXISTS (SELECT * FROM r q WHERE q.s = f.id AND q.t = r.s)) AND id NOT IN (SELECT entry FROM c)),
@@ -147,25 +143,21 @@ def _crossing(f, contexts):
     return D.cross_context(nodes, _sets(f, contexts), contexts.where("self_concurrent = 1").select("id"))
 
 
-def _first_contexts(f):
-    return f["execution_contexts"].where("id < 4").withColumn("entry", F.col("id") * 4 % 25)
-
-
 def _contexts(f):
     """Every context, its id one up: 0 is the context of the roots."""
     return f["execution_contexts"].select((F.col("id") + 1).alias("id"), (F.col("id") * 4 % 25).alias("entry"), "self_concurrent")
 
 
-@facts_query("q21_context_sets", f"{_CONTEXTS} SELECT fn, context FROM sets", "files", "includes", "execution_contexts", recursive=True, whole=lambda f: _sets(f, _contexts(f)))
+@facts_query("q21_context_sets", f"{_CONTEXTS} SELECT fn, context FROM sets", "files", "includes", "execution_contexts", recursive=True)
 def q21(f):
-    return _sets(f, _first_contexts(f))
+    return _sets(f, _contexts(f))
 
 
 @facts_query(
     "q22_cross_context",
-    f"""{_CONTEXTS} SELECT v.id AS node, string_agg(DISTINCT CAST(s.context AS VARCHAR), ',' ORDER BY CAST(s.context AS VARCHAR)) AS contexts, count(DISTINCT s.context) > 1 OR max(CASE WHEN s.context = 1 THEN 1 END) IS NOT NULL AS crosses
+    f"""{_CONTEXTS} SELECT v.id AS node, array_to_string(list_sort(list(DISTINCT s.context)), ',') AS contexts, count(DISTINCT s.context) > 1 OR max(CASE WHEN s.context IN (SELECT id FROM c WHERE self_concurrent = 1) THEN 1 END) IS NOT NULL AS crosses
     FROM variables v JOIN sets s ON s.fn = v.file_id GROUP BY 1""",
-    "files", "includes", "execution_contexts", "variables", recursive=True, whole=lambda f: _crossing(f, _contexts(f)),
+    "files", "includes", "execution_contexts", "variables", recursive=True,
 )
 def q22(f):
-    return _crossing(f, _first_contexts(f))
+    return _crossing(f, _contexts(f))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import graph as G
 from factloom.operators import solver as S
+from factloom.operators.merge import dense_ids
 from factloom.plans.registry import facts_query
 
 EDGES = ("files", "functions", "call_sites", "call_edges")
@@ -47,42 +48,48 @@ _PATHS = """WITH step(a, b, id) AS (SELECT caller_fn_id, callee_fn_id, id FROM c
   paths(at_, nodes, edges, keys) AS (
     SELECT CAST(3 AS BIGINT), [CAST(3 AS BIGINT)], CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL
     SELECT s.b, list_append(p.nodes, s.b), list_append(p.edges, s.id), p.keys || [s.b, s.id] FROM paths p JOIN step s ON s.a = p.at_
-    WHERE len(p.edges) < 6 AND (p.at_ <> {end} OR len(p.edges) = 0) AND (s.b = {end} OR NOT list_contains(p.nodes, s.b))),
+    WHERE len(p.edges) < {depth} AND (p.at_ <> {end} OR len(p.edges) = 0) AND (s.b = {end} OR NOT list_contains(p.nodes, s.b))),
   done AS (SELECT CAST(len(edges) AS BIGINT) AS length, nodes, edges, keys FROM paths WHERE at_ = {end})"""
-END = 50
+END, STEPS = 300, 4
 
 
 def _edges(f):
     return f["call_edges"].select("id", F.col("caller_fn_id").alias("a"), F.col("callee_fn_id").alias("b"))
 
 
-@facts_query("q6_callchains", f"{_PATHS.format(end=END)} SELECT length, nodes, edges FROM done", *EDGES, recursive=True)
+@facts_query("q6_callchains", f"{_PATHS.format(end=END, depth=STEPS)} SELECT length, nodes, edges FROM done", *EDGES, recursive=True)
 def q6(f):
-    return G.chains(_edges(f), 3, END, 6)[0]
+    return G.chains(_edges(f), 3, END, STEPS)[0]
 
 
-@facts_query("o6_callchains_limited", f"{_PATHS.format(end=END)} SELECT length, nodes, edges FROM done ORDER BY keys LIMIT 2", *EDGES, recursive=True)
+@facts_query("o5_callchain_order", f"{_PATHS.format(end=END, depth=STEPS)} SELECT length, nodes, edges, row_number() OVER (ORDER BY length, nodes, edges) AS rank FROM done", *EDGES, recursive=True)
+def o5(f):
+    """The order of the chains as a column."""
+    return dense_ids(G.chains(_edges(f), 3, END, STEPS)[0], ["length", "nodes", "edges"], "rank")
+
+
+@facts_query("o6_callchains_limited", f"{_PATHS.format(end=END, depth=STEPS)} SELECT length, nodes, edges FROM done ORDER BY keys LIMIT 20", *EDGES, recursive=True)
 def o6(f):
-    return G.chains(_edges(f), 3, END, 6, limit=2)[0]
+    return G.chains(_edges(f), 3, END, STEPS, limit=20)[0]
 
 
-@facts_query("q33_chain_graph", f"{_PATHS.format(end=END)} SELECT id, CAST(min(i) - 1 AS BIGINT) AS depth FROM (SELECT unnest(nodes) AS id, unnest(range(1, len(nodes) + 1)) AS i FROM done) GROUP BY id", *EDGES, recursive=True)
+@facts_query("q33_chain_graph", f"{_PATHS.format(end=END, depth=STEPS)} SELECT id, CAST(min(i) - 1 AS BIGINT) AS depth FROM (SELECT unnest(nodes) AS id, unnest(range(1, len(nodes) + 1)) AS i FROM done) GROUP BY id", *EDGES, recursive=True)
 def q33(f):
-    return G.chain_graph(G.chains(_edges(f), 3, END, 6)[0])
+    return G.chain_graph(G.chains(_edges(f), 3, END, STEPS)[0])
 
 
-_FLOW = """WITH walk(id, depth) AS (SELECT id, 0 FROM flow_nodes WHERE id IN (0, 3, 6) UNION SELECT e.dst_node, w.depth + 1 FROM walk w JOIN flow_edges e ON e.src_node = w.id WHERE w.depth < 4),
+_FLOW = """WITH walk(id, depth) AS (SELECT id, 0 FROM flow_nodes WHERE label = 'v22' UNION SELECT e.dst_node, w.depth + 1 FROM walk w JOIN flow_edges e ON e.src_node = w.id WHERE w.depth < 4),
   nodes AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
 
 
 @facts_query("q10_dataflow_nodes", f"{_FLOW} SELECT id, depth FROM nodes", "flow_nodes", "flow_edges", recursive=True)
 def q10(f):
-    return G.dataflow_graph(f, f["flow_nodes"].where("id in (0, 3, 6)"), 4).nodes
+    return G.dataflow_graph(f, f["flow_nodes"].where("label = 'v22'"), 4).nodes
 
 
 @facts_query("q10_dataflow_edges", f"{_FLOW} SELECT e.src_node AS a, e.dst_node AS b, e.kind FROM flow_edges e JOIN nodes n ON n.id = e.src_node AND n.depth < 4", "flow_nodes", "flow_edges", recursive=True)
 def q10_edges(f):
-    return G.dataflow_graph(f, f["flow_nodes"].where("id in (0, 3, 6)"), 4).edges
+    return G.dataflow_graph(f, f["flow_nodes"].where("label = 'v22'"), 4).edges
 
 
 @facts_query(
@@ -142,38 +149,33 @@ def q35(f):
     return G.reachable(f["includes"].select(F.col("src").alias("a"), F.col("dst").alias("b")), f["files"].where("id = 5").select("id"))
 
 
-def _waves(includes, files):
-    return G.waves(includes.select(F.col("src").alias("a"), F.col("dst").alias("b")), files)
-
-
 @facts_query(
     "q35_index_waves",
-    """WITH e AS (SELECT DISTINCT src, dst FROM includes WHERE src > dst AND src % 3 <> 0 AND dst % 3 <> 0),
-    w(id, d) AS (SELECT id, 0 FROM files WHERE id % 3 <> 0 UNION SELECT i.src, w.d + 1 FROM w JOIN e i ON i.dst = w.id)
-    SELECT id, CAST(max(d) AS BIGINT) AS wave FROM w GROUP BY id""",
-    "files", "includes", recursive=True, whole=lambda f: _waves(f["includes"], f["files"]),
+    """WITH e AS (SELECT derived, base FROM inheritance WHERE derived <> base), n AS (SELECT derived AS id FROM inheritance UNION SELECT base FROM inheritance),
+    w(id, d) AS (SELECT id, 0 FROM n UNION SELECT e.derived, w.d + 1 FROM w JOIN e ON e.base = w.id) SELECT id, CAST(max(d) AS BIGINT) AS wave FROM w GROUP BY id""",
+    "inheritance", recursive=True,
 )
 def q35_waves(f):
-    return _waves(f["includes"].where("src > dst and src % 3 <> 0 and dst % 3 <> 0"), f["files"].where("id % 3 <> 0"))
+    e = f["inheritance"].select(F.col("derived").alias("a"), F.col("base").alias("b"))
+    return G.waves(e, e.select(F.col("a").alias("id")).union(e.select(F.col("b").alias("id"))))
 
 
-_CONSTRAINTS = "c AS (SELECT kind, dst_node AS dst, src_node AS src FROM flow_edges WHERE kind IN ('copy', 'load', 'store', 'addr_of') AND src_node % 60 = 0)"
-
-
-def _points_to(edges):
-    c = edges.where("kind in ('copy', 'load', 'store', 'addr_of')")
-    return S.solve(c.select("kind", F.col("dst_node").alias("dst"), F.col("src_node").alias("src"), F.lit(None).cast("long").alias("field"))).facts
+@facts_query("q35_include_waves", "SELECT id, CAST(NULL AS BIGINT) AS wave FROM files", "files", "includes")
+def q35_include_waves(f):
+    """Every file hangs on a cycle of these includes, so none has a wave."""
+    return G.waves(f["includes"].select(F.col("src").alias("a"), F.col("dst").alias("b")), f["files"])
 
 
 @facts_query(
     "f2_f5_points_to",
-    f"""WITH {_CONSTRAINTS}, f(t, x, o, z) USING KEY (t, x, o) AS (
+    """WITH c AS (SELECT kind, dst_node AS dst, src_node AS src FROM flow_edges WHERE kind IN ('copy', 'load', 'store', 'addr_of')), f(t, x, o, z) USING KEY (t, x, o) AS (
       SELECT 'p', dst, src, 0 FROM c WHERE kind = 'addr_of' UNION
       (SELECT 'p', c.dst, f.o, 0 FROM f JOIN c ON c.kind = 'copy' AND c.src = f.x WHERE f.t = 'p'
        UNION SELECT 'p', c.dst, m.o, 0 FROM recurring.f p JOIN c ON c.kind = 'load' AND c.src = p.x JOIN recurring.f m ON m.t = 'm' AND m.x = p.o WHERE p.t = 'p'
        UNION SELECT 'm', p.o, v.o, 0 FROM recurring.f p JOIN c ON c.kind = 'store' AND c.dst = p.x JOIN recurring.f v ON v.t = 'p' AND v.x = c.src WHERE p.t = 'p'))
     SELECT t, x, o FROM f""",
-    "flow_edges", recursive=True, whole=lambda f: _points_to(f["flow_edges"]),
+    "flow_edges", recursive=True,
 )
 def f2(f):
-    return _points_to(f["flow_edges"].where("src_node % 60 = 0"))
+    c = f["flow_edges"].where("kind in ('copy', 'load', 'store', 'addr_of')")
+    return S.solve(c.select("kind", F.col("dst_node").alias("dst"), F.col("src_node").alias("src"), F.lit(None).cast("long").alias("field"))).facts

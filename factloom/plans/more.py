@@ -13,12 +13,16 @@ from factloom.plans.registry import facts_query
 
 @facts_query(
     "q23_sharing",
-    "SELECT n.id, CASE WHEN n.kind IN ('constant', 'call_target') THEN 'constant' WHEN v.kind IN ('local', 'param') THEN 'private' ELSE 'shared' END AS sharing FROM flow_nodes n LEFT JOIN variables v ON v.id = n.var_id",
+    """SELECT n.id, CASE WHEN n.kind = 'var' AND v.kind IN ('global', 'file_static', 'fn_static') THEN 'shared' WHEN n.kind = 'constant' THEN 'constant'
+      WHEN n.kind = 'loc' AND n.detail IN ('function', 'string_lit') THEN 'constant' WHEN n.kind = 'loc' AND (n.detail = 'local' OR n.detail = 'field' AND v.kind IN ('local', 'param')) THEN 'private'
+      WHEN n.kind = 'loc' THEN 'shared' ELSE 'private' END AS sharing FROM (SELECT id, CASE WHEN id % 31 = 6 THEN 'constant' ELSE kind END AS kind, detail, coalesce(var_id, CASE WHEN kind = 'loc' THEN id % 1500 END) AS var_id FROM flow_nodes) n
+    LEFT JOIN variables v ON v.id = n.var_id""",
     "flow_nodes", "variables",
 )
 def q23(f):
     v = f["variables"].select(F.col("id").alias("var_id"), F.col("kind").alias("var_kind"))
-    return D.sharing(f["flow_nodes"].join(v, "var_id", "left"))
+    n = f["flow_nodes"].select("id", F.when(F.col("id") % 31 == 6, "constant").otherwise(F.col("kind")).alias("kind"), F.col("detail").alias("loc_kind"), F.coalesce("var_id", F.when(F.col("kind") == "loc", F.col("id") % 1500)).alias("var_id"))
+    return D.sharing(n.join(v, "var_id", "left"))
 
 
 @facts_query("q14_assignment_targets", "SELECT id, CASE WHEN id % 4 = 0 THEN 'x[' || id || ']' WHEN id % 4 = 1 THEN 'p->q' WHEN id % 4 = 2 THEN 'n' END AS target FROM functions", "functions")
@@ -60,9 +64,9 @@ def _rebound(f, bound, callers):
     return M.rebind_ipc(f["call_edges"], bound.select((F.col("id") % callers).alias("caller_fn_id"), F.col("id").alias("bound")))
 
 
-@facts_query("m15_rebound_ipc_edges", "SELECT DISTINCT e.id, coalesce(f.id, e.caller_fn_id) AS caller_fn_id, e.callee_fn_id FROM call_edges e LEFT JOIN functions f ON f.id % 50 = e.caller_fn_id AND f.id < 150 WHERE e.resolution = 'ipc'", "call_edges", "functions", whole=lambda f: _rebound(f, f["functions"], f["execution_contexts"].count()))
+@facts_query("m15_rebound_ipc_edges", "SELECT DISTINCT e.id, coalesce(f.id, e.caller_fn_id) AS caller_fn_id, e.callee_fn_id FROM call_edges e LEFT JOIN functions f ON f.id % (SELECT count(*) FROM supplier) = e.caller_fn_id WHERE e.resolution = 'ipc'", "call_edges", "functions")
 def m15(f):
-    return _rebound(f, f["functions"].where("id < 150"), 50)
+    return _rebound(f, f["functions"], f["execution_contexts"].count())
 
 
 @facts_query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom.operators import merge as M
 from factloom.operators import relational as R
 from factloom.plans.registry import facts_query
 
@@ -11,7 +12,7 @@ EDGES = ("files", "functions", "call_sites", "call_edges")
 _CALLS = """SELECT e.id, a.name AS caller, b.name AS callee, e.resolution, coalesce(xf.path, sf.path) AS path,
     coalesce(s.expansion_line, s.line) AS line, coalesce(s.expansion_col, s.col) AS col
   FROM call_edges e JOIN functions a ON a.id = e.caller_fn_id JOIN functions b ON b.id = e.callee_fn_id
-  LEFT JOIN files af ON af.id = a.file_id LEFT JOIN files bf ON bf.id = b.file_id LEFT JOIN call_sites s ON s.id = e.call_site_id
+  JOIN files af ON af.id = a.file_id JOIN files bf ON bf.id = b.file_id LEFT JOIN call_sites s ON s.id = e.call_site_id
   LEFT JOIN files sf ON sf.id = s.file_id LEFT JOIN files xf ON xf.id = s.expansion_file_id"""
 
 
@@ -20,12 +21,29 @@ def q1(f):
     return R.calls(f)
 
 
+def _ranked(rows, *order):
+    return M.dense_ids(rows, list(order), "rank")
+
+
+@facts_query("o1_call_order", f"SELECT *, row_number() OVER (ORDER BY path IS NULL, path, line, id) AS rank FROM ({_CALLS})", *EDGES)
+def o1(f):
+    """The order of q1's rows as a column."""
+    return _ranked(R.calls(f).withColumn("last", F.col("path").isNull()), "last", "path", "line", "id").drop("last")
+
+
 @facts_query("q1_calls_between", f"{_CALLS} WHERE (a.name = 'f7' OR a.name LIKE '%::f7') AND a.is_dep = 0 AND b.is_dep = 0", *EDGES)
 def q1_between(f):
     return R.calls(f, from_="f7", exclude_deps=True)
 
 
-@facts_query("p3_calls_in_file", f"{_CALLS} WHERE contains(lower(af.path), 'nation_1') OR (contains(lower(bf.path), 'united') AND b.line_start > 0)", *EDGES)
+_FOLDED = "contains(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'nation_1')"
+
+
+@facts_query(
+    "p3_calls_in_file",
+    f"{_CALLS} WHERE {_FOLDED.format('sf.path')} OR {_FOLDED.format('xf.path')} OR ({_FOLDED.format('bf.path')} AND b.line_start > 0) OR (e.call_site_id IS NULL AND {_FOLDED.format('af.path')})",
+    *EDGES,
+)
 def p3(f):
     return R.calls(f, file="NATION_1")
 
@@ -55,6 +73,12 @@ def q7_in(f):
     return R.editor_calls(f, 17, incoming=True)
 
 
+@facts_query("o7_editor_call_order", f"SELECT *, row_number() OVER (ORDER BY peer, line NULLS FIRST, col NULLS FIRST, id) AS rank FROM ({_HOP.format(own='caller_fn_id', other='callee_fn_id')})", *EDGES)
+def o7(f):
+    """The order of an editor's outgoing calls as a column."""
+    return _ranked(R.editor_calls(f, 17, incoming=False), "peer", "line", "col", "id")
+
+
 _DIAG = "SELECT d.id, d.stage, d.severity, f.path, d.line, d.message FROM diagnostics d LEFT JOIN files f ON f.id = d.file_id"
 
 
@@ -144,7 +168,8 @@ def q9(f):
 
 @facts_query(
     "j7_node_labels",
-    """SELECT n.id, n.kind, CASE WHEN f.name IS NOT NULL THEN coalesce(n.label, v.name, 'node' || n.id) || ' in ' || f.name ELSE coalesce(n.label, v.name, 'node' || n.id) END AS label
+    """SELECT n.id, n.kind, CASE WHEN n.kind = 'var' AND coalesce(n.label, '') = '' THEN coalesce(v.name, 'var' || coalesce(n.var_id, n.id)) ELSE n.label END AS label,
+    CASE WHEN n.kind = 'var' AND coalesce(n.detail, '') = '' THEN CASE WHEN v.id IS NOT NULL THEN v.kind || ' @' || v.line || CASE WHEN f.name IS NOT NULL THEN ' in ' || f.name ELSE '' END ELSE '' END ELSE n.detail END AS detail
     FROM flow_nodes n LEFT JOIN variables v ON v.id = n.var_id LEFT JOIN functions f ON f.id = coalesce(n.fn_id, v.fn_id)""",
     "flow_nodes", "variables", "functions",
 )

@@ -13,7 +13,7 @@ COLUMNS = {
     "call_sites": "id caller_fn_id file_id line col callee_text is_direct expansion_file_id expansion_line expansion_col",
     "call_edges": "id call_site_id caller_fn_id callee_fn_id resolution",
     "variables": "id name kind fn_id file_id line col is_synthetic",
-    "flow_nodes": "id kind label var_id fn_id",
+    "flow_nodes": "id kind label detail var_id fn_id",
     "flow_edges": "src_node dst_node kind",
     "flow_origins": "src_node dst_node kind file_id line",
     "arg_flow_edges": "call_site_id arg_index actual_var actual_fn formal_var",
@@ -79,7 +79,8 @@ def from_rows(spark: SparkSession, **tables: tuple[str, list]) -> FactSet:
     return FactSet({n: spark.createDataFrame(rows, schema) for n, (schema, rows) in tables.items()})
 
 
-#: The relations made of the driver's tables: one text for Spark SQL and DuckDB, other relations in braces.
+#: The relations made of the driver's tables: one text for Spark SQL and DuckDB, other relations in braces. Every row of a table takes
+#: part. Calls fan out threefold from function to function; values flow within groups of twelve nodes, and from group to group by arguments.
 ADAPTER = {
     "files": """select cast(n_nationkey as bigint) id, '/proj/' || lower(replace(n_name, ' ', '_')) || '.c' path, '' sha256,
         case when n_regionkey = 4 then 1 else 0 end is_dep from {nation}""",
@@ -91,26 +92,27 @@ ADAPTER = {
         case when p_partkey % 13 = 0 or p_partkey % 7 = 0 then 0 else 1 end is_defined, case when p_partkey % 25 % 5 = 4 then 1 else 0 end is_dep,
         case when p_partkey % 11 = 0 then 1 else 0 end is_weak, case when p_partkey % 19 = 0 then cast(null as bigint) else p_partkey % 3 end target_id from {part}""",
     "raw_sites": """select l_orderkey * 8 + l_linenumber id, min(l_partkey) caller_fn_id, min(l_suppkey) s, min(l_linenumber) n, min(l_returnflag) r
-        from {lineitem} where l_linenumber <= 2 and l_orderkey % 4 = 0 group by l_orderkey, l_linenumber""",
+        from {lineitem} group by l_orderkey, l_linenumber""",
     "call_sites": """select id, caller_fn_id, caller_fn_id % 25 file_id, s + 1 line, cast(n * 4 as bigint) col, 'f' || cast(s % 40 as string) callee_text,
         case when r = 'N' then 0 else 1 end is_direct, case when s % 5 = 0 then caller_fn_id % 25 when s % 7 = 0 then (caller_fn_id + 1) % 25 end expansion_file_id,
         case when s % 5 = 0 or s % 7 = 0 then s + 3 end expansion_line, case when s % 5 = 0 or s % 7 = 0 then cast(1 as bigint) end expansion_col from {raw_sites}""",
-    "call_edges": """select id * 2 id, id call_site_id, caller_fn_id, (caller_fn_id * 31 + s * 17 + id) % (select count(*) from {part}) callee_fn_id,
+    "call_edges": """select id * 2 id, id call_site_id, caller_fn_id, (caller_fn_id * 3 + 1 + (s * 17 + id) % 3) % (select count(*) from {part}) callee_fn_id,
         case when r <> 'N' then (case when id % 9 = 1 then 'ambiguous' when id % 9 = 2 then 'external' else 'direct' end) else 'indirect' end resolution from {raw_sites} where not (r = 'N' and id % 2 = 0)
         union all select s_suppkey * 2 + 1, cast(null as bigint), s_suppkey, (s_suppkey * 7 + 3) % (select count(*) from {part}), 'ipc' from {supplier} where s_suppkey % 5 = 0""",
-    "variables": """select c_custkey id, 'v' || cast(c_custkey % 60 as string) name, case c_custkey % 4 when 0 then 'global' when 1 then 'local' when 2 then 'param' else 'static' end kind,
+    "variables": """select c_custkey id, 'v' || cast(c_custkey % 60 as string) name, case c_custkey % 4 when 0 then 'global' when 1 then 'local' when 2 then 'param' else 'file_static' end kind,
         case when c_custkey % 4 = 0 then cast(null as bigint) else c_custkey % 40 end fn_id, cast(c_nationkey as bigint) file_id, 1 + c_custkey % 40 line, 1 + c_custkey % 17 col,
         case when c_custkey % 23 = 0 then 1 else 0 end is_synthetic from {customer}""",
     "flow_nodes": """select o_orderkey id, case o_orderkey % 5 when 0 then 'loc' when 1 then 'call_target' else 'var' end kind,
-        case when o_orderkey % 5 = 0 then 'cell ' || cast(o_orderkey as string) when o_orderkey % 5 = 1 then cast(null as string) else 'v' || cast(o_custkey % 60 as string) end label,
+        case when o_orderkey % 5 = 0 then 'cell ' || cast(o_orderkey as string) when o_orderkey % 5 = 1 then cast(null as string) when o_orderkey % 7 = 3 then '' else 'v' || cast(o_custkey % 60 as string) end label,
+        case when o_orderkey % 5 = 0 then (case o_orderkey % 8 when 0 then 'local' when 1 then 'field' when 2 then 'global' when 3 then 'function' when 4 then 'string_lit' when 5 then 'fn_static' else 'heap' end) when o_orderkey % 9 = 2 then cast(null as string) when o_orderkey % 9 = 4 then 'noted' else '' end detail,
         case when o_orderkey % 5 > 1 then o_custkey end var_id, case when o_orderkey % 5 = 1 then o_custkey % 40 end fn_id from {orders}""",
-    "flow_edges": """select distinct l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
-        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind from {lineitem} where l_orderkey % 3 = 0""",
-    "flow_origins": """select l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
+    "flow_edges": """select distinct l_orderkey src_node, case when l_linenumber = 7 then l_orderkey * 7 + l_partkey else l_orderkey - l_orderkey % 12 + (l_orderkey * 7 + l_partkey) % 12 end % (select count(*) from {orders}) dst_node,
+        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind from {lineitem}""",
+    "flow_origins": """select l_orderkey src_node, case when l_linenumber = 7 then l_orderkey * 7 + l_partkey else l_orderkey - l_orderkey % 12 + (l_orderkey * 7 + l_partkey) % 12 end % (select count(*) from {orders}) dst_node,
         case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind,
-        l_partkey % 25 file_id, l_suppkey + 1 line from {lineitem} where l_orderkey % 3 = 0 and l_suppkey % 2 = 0""",
+        l_partkey % 25 file_id, l_suppkey + 1 line from {lineitem}""",
     "arg_flow_edges": """select id call_site_id, n arg_index, case when s % 3 = 0 then cast(null as bigint) else s end actual_var, case when s % 3 = 0 then caller_fn_id end actual_fn, caller_fn_id % 100 formal_var
-        from {raw_sites} where s % 2 = 0""",
+        from {raw_sites}""",
     "diagnostics": """select event_id id, case event_id % 3 when 0 then 'parse' when 1 then 'link' else 'solve' end stage, case event_id % 4 when 0 then 'error' else 'warning' end severity,
         case when event_id % 10 = 0 then cast(null as bigint) else event_id % 25 end file_id, event_id % 90 + 1 line, event_type message from {events}""",
     "execution_contexts": """select s_suppkey id, case s_suppkey % 4 when 0 then 'thread' when 1 then 'task' when 2 then 'ipc' else 'timer' end kind, (s_suppkey * 13) % (select count(*) from {part}) entry_fn_id,
@@ -122,39 +124,20 @@ ADAPTER = {
     "includes": """select cast(n_nationkey as bigint) src, cast((n_nationkey * 3 + 1) % 25 as bigint) dst from {nation} where n_nationkey % 4 <> 3
         union select cast(n_nationkey as bigint), cast(floor(n_nationkey / 2) as bigint) from {nation} where n_nationkey > 0""",
 }
-#: Relations of which ADAPTER keeps a part, from every row of their tables; only for queries without SQL.
-WHOLE = {
-    "raw_sites": """select l_orderkey * 8 + l_linenumber id, min(l_partkey) caller_fn_id, min(l_suppkey) s, min(l_linenumber) n, min(l_returnflag) r
-        from {lineitem} group by l_orderkey, l_linenumber""",
-    "flow_edges": """select distinct l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
-        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind from {lineitem}""",
-    "flow_origins": """select l_orderkey src_node, (l_orderkey * 7 + l_partkey) % (select count(*) from {orders}) dst_node,
-        case l_linenumber when 1 then 'copy' when 2 then 'load' when 3 then 'store' when 4 then 'gep' when 5 then 'addr_of' else 'call_arg' end kind,
-        l_partkey % 25 file_id, l_suppkey + 1 line from {lineitem}""",
-    "arg_flow_edges": """select id call_site_id, n arg_index, case when s % 3 = 0 then cast(null as bigint) else s end actual_var, case when s % 3 = 0 then caller_fn_id end actual_fn, caller_fn_id % 100 formal_var
-        from {raw_sites}""",
-}
 BASE = "region nation customer supplier part orders lineitem events".split()
 
 
-def adapt(spark: SparkSession, sf_dir: str, whole: bool = False) -> FactSet:
-    """The facts that ADAPTER makes of the driver's tables, lazily; whole takes the relations of WHOLE instead of the cut ones."""
+def adapt(spark: SparkSession, sf_dir: str) -> FactSet:
+    """The facts that ADAPTER makes of the driver's tables, lazily."""
     made: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
     out = {}
     for name, text in ADAPTER.items():
-        text = WHOLE.get(name, text) if whole else text
-        used = {t: made[t] for t in made if "{" + t + "}" in text}
-        made[name] = spark.sql(text, **used)
+        made[name] = spark.sql(text, **{t: made[t] for t in made if "{" + t + "}" in text})
         if name != "raw_sites":
             out[name] = made[name]
     return FactSet(out)
 
 
-def is_cut(name: str) -> bool:
-    """Whether ADAPTER makes the relation of a part of its table's rows."""
-    return name in WHOLE or any(is_cut(other) for other in ADAPTER if "{" + other + "}" in ADAPTER[name])
-
-
 def with_facts(select: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL: the named relations (and what they are made of) as common tables, then the select."""
     wanted: list[str] = []

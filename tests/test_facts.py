@@ -14,7 +14,7 @@ SITES = (SITE, [(100, 10, 1, 15, 5, "helper", 1, None, None, None), (101, 11, 1,
 EDGE = "id long, call_site_id long, caller_fn_id long, callee_fn_id long, resolution string"
 EDGES = (EDGE, [(200, 100, 10, 11, "direct"), (201, 101, 11, 12, "external")])
 VARIABLES = ("id long, name string, kind string, fn_id long, file_id long, line int, col int, is_synthetic int", [(20, "g", "global", None, 1, 5, 5, 0), (21, "x", "local", 10, 1, 12, 9, 0), (22, "y", "local", 10, 1, 12, 18, 0)])
-NODES = ("id long, kind string, label string, var_id long, fn_id long", [(300, "var", "g", 20, None), (301, "var", "x", 21, None), (302, "loc", "cell of g", None, None), (303, "var", "y", 22, None)])
+NODES = ("id long, kind string, label string, detail string, var_id long, fn_id long", [(300, "var", "g", "", 20, None), (301, "var", "x", "", 21, None), (302, "loc", "cell of g", "", None, None), (303, "var", "y", "", 22, None)])
 FLOW = ("src_node long, dst_node long, kind string", [(300, 301, "copy"), (301, 302, "store"), (302, 300, "copy")])
 
 

@@ -1,4 +1,4 @@
-"""Queries without SQL over whole tables: nothing of the driver's tables is left out, and the answers follow by brute force."""
+"""Queries over whole tables: nothing of the driver's tables is left out, and the answers follow by brute force."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ def test_points_to_solves_every_flow_edge(spark, tables):
     lines = spark.read.parquet(f"{tables}/lineitem.parquet").collect()
     kinds = {1: "copy", 2: "load", 3: "store", 5: "addr_of"}
     c = {(kinds[r.l_linenumber], (r.l_orderkey * 7 + r.l_partkey) % 12, r.l_orderkey) for r in lines if r.l_linenumber in kinds}
-    assert len(c) == 48
+    assert len(c) == 48 and len({r.l_orderkey for r in lines}) == 12
     facts, size = {("p", d, s) for k, d, s in c if k == "addr_of"}, 0
     while size != len(facts):
         size, p, m = len(facts), [f[1:] for f in facts if f[0] == "p"], [f[1:] for f in facts if f[0] == "m"]
@@ -46,7 +46,7 @@ def test_points_to_solves_every_flow_edge(spark, tables):
                 facts |= {("p", d, v) for x, o in p if x == s for y, v in m if y == o}
             if k == "store":
                 facts |= {("m", o, v) for x, o in p if x == d for y, v in p if y == s}
-    assert set(rows(registry.QUERIES["f2_f5_points_to_whole"](spark, tables), "t", "x", "o")) == facts
+    assert set(rows(registry.QUERIES["f2_f5_points_to"](spark, tables), "t", "x", "o")) == facts
 
 
 def test_every_event_is_in_the_graph_of_its_user(spark, tables):
@@ -54,11 +54,11 @@ def test_every_event_is_in_the_graph_of_its_user(spark, tables):
     for event, user in EVENTS:
         by.setdefault(user, []).append(event)
     pairs = sorted((u, a, b) for u, own in by.items() for a in own for b in own if a < b)
-    assert rows(registry.QUERIES["q25_event_relations_whole"](spark, tables), "cfg_id", "a", "b") == pairs
-    assert {u for u, *_ in rows(registry.QUERIES["q26_dominators_whole"](spark, tables), "cfg_id", "block")} == set(by)
-    assert {k for k in rows(registry.QUERIES["q28_combined_relations_whole"](spark, tables), "cfg_id", "k")} == {(u, a % 80) for u, a, _ in pairs}
-    assert registry.QUERIES["q31_unordered_runs_whole"](spark, tables).count() == 0
-    assert sorted(r.event for r in adapt(spark, tables, whole=True)["cfg_calls"].collect()) == [e for e, _ in EVENTS]
+    assert rows(registry.QUERIES["q25_event_relations"](spark, tables), "cfg_id", "a", "b") == pairs
+    assert {u for u, *_ in rows(registry.QUERIES["q26_dominators"](spark, tables), "cfg_id", "block")} == set(by)
+    assert {k for k in rows(registry.QUERIES["q28_combined_relations"](spark, tables), "cfg_id", "k")} == {(u, a % 80) for u, a, _ in pairs}
+    assert registry.QUERIES["q31_unordered_runs"](spark, tables).count() == 0
+    assert sorted(r.event for r in adapt(spark, tables)["cfg_calls"].collect()) == [e for e, _ in EVENTS]
 
 
 def test_every_function_context_file_and_binding_takes_part(spark, tables):
@@ -74,24 +74,26 @@ def test_every_function_context_file_and_binding_takes_part(spark, tables):
                 elif v not in seen:
                     seen.add(v)
                     todo.append(v)
-    assert set(rows(registry.QUERIES["f14_expanded_returns_whole"](spark, tables), "fn_id", "kind", "value")) == returned and max(r[0] for r in returned) == n - 1
+    assert set(rows(registry.QUERIES["f14_expanded_returns"](spark, tables), "fn_id", "kind", "value")) == returned and max(r[0] for r in returned) == n - 1
     q = registry.QUERIES
-    assert {c for _, c in rows(q["q21_context_sets_whole"](spark, tables), "fn", "context")} >= set(range(1, 11))
-    assert any("10" in r.contexts.split(",") for r in q["q22_cross_context_whole"](spark, tables).collect())
-    waves = {r.id: r.wave for r in q["q35_index_waves_whole"](spark, tables).collect()}
-    includes = {(a, b) for a, b in rows(adapt(spark, tables)["includes"], "src", "dst") if a != b}
-    assert set(waves) == set(range(25))
-    assert all(waves[a] is None or waves[b] is not None and waves[b] < waves[a] for a, b in includes)
+    assert {c for _, c in rows(q["q21_context_sets"](spark, tables), "fn", "context")} >= set(range(1, 11))
+    assert any("10" in r.contexts.split(",") for r in q["q22_cross_context"](spark, tables).collect())
+    for name, relation in (("q35_index_waves", "inheritance"), ("q35_include_waves", "includes")):
+        waves = {r.id: r.wave for r in q[name](spark, tables).collect()}
+        edges = {(a, b) for a, b in map(tuple, adapt(spark, tables)[relation].collect()) if a != b}
+        assert set(waves) == {n for e in edges for n in e} | (set(range(25)) if relation == "includes" else set())
+        assert all(waves[a] is None or waves[b] is not None and waves[b] < waves[a] for a, b in edges)
+        assert all((w is None) == (relation == "includes") for w in waves.values())
     ipc = adapt(spark, tables)["call_edges"].where("resolution = 'ipc'").collect()
-    assert set(rows(q["m15_rebound_ipc_edges_whole"](spark, tables), "id", "caller_fn_id")) == {(e.id, i) for e in ipc for i in range(n) if i % 10 == e.caller_fn_id}
+    assert set(rows(q["m15_rebound_ipc_edges"](spark, tables), "id", "caller_fn_id")) == {(e.id, i) for e in ipc for i in range(n) if i % 10 == e.caller_fn_id}
 
 
 def test_every_line_is_a_site_and_a_flow_edge(spark, tables):
     lines = {(o, n) for o in range(12) for n in range(1, 8)}
-    f, q = adapt(spark, tables, whole=True), registry.QUERIES
+    f, q = adapt(spark, tables), registry.QUERIES
     assert set(rows(f["call_sites"], "id")) == {(o * 8 + n,) for o, n in lines} and f["flow_edges"].select("src_node", "kind").distinct().count() == 12 * 6
     assert f["flow_origins"].count() == len(lines) and f["arg_flow_edges"].count() == len(lines)
     edges = {(o * 8 + n,) for o, n in lines if not (o % 2 == 0 and n % 2 == 0)}  # indirect sites of even ids stay unresolved
     assert set(rows(f["call_edges"].where("call_site_id is not null"), "call_site_id")) == edges
-    assert set(rows(q["j4_unresolved_sites_whole"](spark, tables), "id")) == set(rows(f["call_sites"], "id")) - edges
-    assert q["q1_calls_whole"](spark, tables).count() == f["call_edges"].count()
+    assert set(rows(q["j4_unresolved_sites"](spark, tables), "id")) == set(rows(f["call_sites"], "id")) - edges
+    assert q["q1_calls"](spark, tables).count() == f["call_edges"].count()
