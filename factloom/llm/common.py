@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.loop import cut, cut_counted, discard, scratch  # noqa: F401  used by the operators
+
 #: Bytes that one Arrow batch sent to a Python worker may hold; long texts make batches short.
 BATCH_BYTES = 4 << 20
 
@@ -89,26 +90,8 @@ def fold(key: object, modulus: int) -> int:
     return zlib.crc32(str(key).encode()) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset a folder of this machine serves, but only a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "/tmp/checkpoints/factloom"
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df below the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table below the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
+materialize = cut
 
 
 def input_parts(df: DataFrame) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, e = e, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(old)
         now = _sum(e)
         if now == seen:
             break

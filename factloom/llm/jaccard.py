@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, bound_batches, claim, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
+from .common import ASCII_LOWER, WordHashes, bound_batches, claim, cut_counted, discard, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
 from .components import connected_components
-from .exchange import bucket_bits, bucket_parts, frozen, requests, settled, state_of, total_counts
+from .exchange import bucket_bits, bucket_parts, frozen, pack_counts, pack_sorted, requests, settled, state_of, total_counts, unpack_counts, unpack_sorted
 
 WORDS, PERCENT = 5, 75
 OWNER = __name__
@@ -107,9 +107,8 @@ def scan_sets(docs: DataFrame, bits: int) -> DataFrame:
             if sets:
                 sizes = np.array([len(s) for s in sets.values()])
                 firsts = [s[: len(s) - needed(len(s)) + 1 + spare(len(s))] for s in sets.values()]
-                owner = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
                 keys, inverse, counts = np.unique(np.concatenate(firsts), return_inverse=True, return_counts=True)
-                state = frozen(sids=b"".join(sets), sizes=sizes, owner=owner.astype(np.uint16 if len(sets) < 65536 else np.uint32), key=inverse.astype(np.uint32), counts=counts, parts=bucket_parts(keys, bits))
+                state = frozen(sids=b"".join(sets), sizes=sizes, firsts=np.array([len(f) for f in firsts], np.uint32), key=inverse.astype(np.uint32), counts=pack_counts(counts), parts=bucket_parts(keys, bits))
                 rows.append((None, None, None, number, -1, None, None, state))
                 rows += [(None, None, None, *r, None) for r in requests(number, keys, counts, bits)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
@@ -125,8 +124,9 @@ def told(states: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
 
 def _likely(table: pa.Table) -> pa.Table:
     s = state_of(table)
-    total = settled(s["counts"], s["parts"], table)
-    shared = np.bincount(s["owner"], weights=total[s["key"]] > 1, minlength=len(s["sizes"]))
+    total = settled(unpack_counts(s["counts"], int(s["parts"][1][-1])), s["parts"], table)
+    owner = np.repeat(np.arange(len(s["firsts"])), s["firsts"])
+    shared = np.bincount(owner, weights=total[s["key"]] > 1, minlength=len(s["sizes"]))
     least = -(-s["sizes"] * PERCENT // 100) // 8 + 1  # a partner may be that much smaller, and asks for an eighth of itself
     sids = parted(s["sids"])
     return pa.table({"sid": pa.array([sids[i] for i in np.flatnonzero(shared >= least)], pa.binary())})
@@ -144,7 +144,7 @@ def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
                 continue
             own = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
             keys, inverse, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-            state = frozen(sids=b"".join(b.column(0).to_pylist()), sizes=np.array([len(s) for s in own]), key=inverse.astype(np.uint32), keys=keys, counts=counts, parts=bucket_parts(keys, bits))
+            state = frozen(sids=b"".join(b.column(0).to_pylist()), sizes=np.array([len(s) for s in own]), key=inverse.astype(np.uint32), keys=pack_sorted(keys), counts=pack_counts(counts), parts=bucket_parts(keys, bits))
             number = batch_number(counter)
             rows = [(number, -1, None, None, state), *((*r, None) for r in requests(number, keys, counts, bits))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
@@ -155,7 +155,8 @@ def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
 def _keyed(table: pa.Table) -> pa.Table:
     """Sets that share enough: their shared shingles, and the rarest of them as keys."""
     s = state_of(table)
-    total = settled(s["counts"], s["parts"], table)
+    every = unpack_sorted(s["keys"])
+    total = settled(unpack_counts(s["counts"], len(every)), s["parts"], table)
     out, at = [], 0
     for sid, n in zip(parted(s["sids"]), s["sizes"].tolist(), strict=True):
         k = s["key"][at : at + n]
@@ -163,7 +164,7 @@ def _keyed(table: pa.Table) -> pa.Table:
         common = k[total[k] > 1]
         if len(common) < needed(n):
             continue
-        keys = s["keys"][common]
+        keys = every[common]
         order = np.lexsort((keys, total[common]))
         first = n - needed(n) + 1 - (n - len(common))
         out.append((sid, n, keys.tobytes(), keys[order[:first]].view(np.int64)))
@@ -330,12 +331,13 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bits = bucket_bits(input_parts(rows))
     scan = materialize(scan_sets(rows, bits))
-    numbered = scan.where("batch is null").select("doc_id", "n", "sid")
+    numbered = materialize(scan.where("batch is null").select("doc_id", "n", "sid"))
     answers = total_counts(scan.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
     likely = told(scan.where("bucket = -1"), answers, _likely, "sid binary")
     lowest = numbered.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialize(lowest.join(likely.distinct(), "sid", "left_semi").where("doc_id is not null"))
-    few = chosen.count() <= BROADCAST_ROWS
+    chosen, size = cut_counted(lowest.join(likely.distinct(), "sid", "left_semi").where("doc_id is not null"))
+    few = size <= BROADCAST_ROWS
+    discard(scan)
 
     def whole(batches):
         claim(OWNER)
@@ -347,9 +349,11 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     picked = rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("sid", "text")
     sets = materialize(picked.mapInArrow(whole, "sid binary, shared binary"))
     shared = materialize(scan_shared(sets.dropDuplicates(["sid"]), bits))
+    discard(sets)
     answers = total_counts(shared.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
     # Sets that may link get numbers of their own, which are fixed by being written; the search knows them by these.
     cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid binary, n long, shared binary, keys array<long>").withColumn("number", F.monotonically_increasing_id()))
+    discard(shared)
     roots = connected_components(similar_sets(cand.select(F.col("number").alias("sid"), "n", "shared", "keys")))
 
     numbers = cand.select(F.col("number").alias("node"), "sid").join(roots, "node")
@@ -379,16 +383,21 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Of rows with one id and one set, the least by their columns in order stays.
     """
     rows = materialize(_grouped(docs, key, text).where("doc_id is not null").select("doc_id", "sid", "root"))
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("m")).select("m.doc_id", "m.sid")
-    chosen = first.unionByName(rows.where("root is null").select("doc_id", "sid").distinct()).select(F.col("doc_id").alias("__kept"), F.col("sid").alias("__set"))
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("__many"))
-    chosen, repeated = materialize(chosen), materialize(repeated)
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "sid")).alias("m")).select("root", F.col("m.doc_id").alias("__kept"), F.col("m.sid").alias("__set"))
+    repeated, several = cut_counted(rows.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"))
+    # The rows that go are the fewer ones, so it is they that are sent to the texts, not the texts to the rows that stay.
+    copies = rows.join(first, "root").where("doc_id <> __kept").select("doc_id")
+    out, n = cut_counted(copies.unionByName(repeated).distinct().withColumnRenamed("doc_id", "__out"))
     number = F.col(f"`{key}`").cast("long")
-    single = docs.join(chosen.join(repeated, F.col("__kept") == F.col("__many"), "left_anti"), number == F.col("__kept"), "left_semi")
-    several = _with_sets(docs.join(repeated, number == F.col("__many"), "left_semi"), text).withColumn("__id", number)
-    several = several.join(chosen, (F.col("__id") == F.col("__kept")) & F.col("__sid").eqNullSafe(F.col("__set")), "left_semi")
-    least = several.groupBy("__id", "__sid").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("m")).select("m.*")
-    return single.unionByName(least).unionByName(docs.where(number.isNull()))
+    kept = docs.join(F.broadcast(out) if n <= BROADCAST_ROWS else out, number == F.col("__out"), "left_anti")
+    if not several:
+        return kept
+    chosen = first.select("__kept", "__set").unionByName(rows.where("root is null").select(F.col("doc_id").alias("__kept"), F.col("sid").alias("__set")).distinct())
+    own = docs.join(repeated.withColumnRenamed("doc_id", "__many"), number == F.col("__many"), "left_semi")
+    own = _with_sets(own, text).withColumn("__id", number)
+    own = own.join(materialize(chosen), (F.col("__id") == F.col("__kept")) & F.col("__sid").eqNullSafe(F.col("__set")), "left_semi")
+    least = own.groupBy("__id", "__sid").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("m")).select("m.*")
+    return kept.unionByName(least)
 
 
 def op2_ngram_jaccard(spark, sf_dir):
