@@ -45,19 +45,28 @@ def memory_access(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def write_facts(facts: FactSet, path: str) -> None:
-    """Writes every relation below path.staging, then puts the folder in place by one rename (K1, K2, K9).
+    """Writes every relation below path.staging, then puts the folder in place by renames (K1, K2, K9).
 
-    Readers see the old facts or the new, never some of both.
+    Old facts are moved aside, not deleted, before the new ones take their place, and come back if that fails; a writer
+    that died between the two leaves them at path.old, where read_facts finds them. Readers never see some of both.
     """
     spark = next(iter(facts.values())).sparkSession
-    staging = f"{path.rstrip('/')}.staging"
-    fs, (at, to) = _file_system(spark, staging, path)
+    path = path.rstrip("/")
+    fs, (at, to, old) = _file_system(spark, f"{path}.staging", path, f"{path}.old")
+    if fs.exists(old) and not fs.exists(to):
+        fs.rename(old, to)
     fs.delete(at, True)
     for name, df in facts.items():
-        df.write.parquet(f"{staging}/{name}")
-    fs.delete(to, True)
+        df.write.parquet(f"{path}.staging/{name}")
+    fs.delete(old, True)
+    held = fs.exists(to)
+    if held and not fs.rename(to, old):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(at, to):
+        if held:
+            fs.rename(old, to)
         raise OSError(f"can't publish {path}")
+    fs.delete(old, True)
 
 
 def _file_system(spark: SparkSession, *paths: str):

@@ -67,6 +67,12 @@ class FactSet(Mapping[str, DataFrame]):
 
 def read_facts(spark: SparkSession, path: str, names: Iterable[str] | None = None, strict: bool = True) -> FactSet:
     """A fact set from a folder with one Parquet table a relation; strict checks the columns of all."""
+    path = path.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, old = hadoop.Path(path), hadoop.Path(f"{path}.old")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place) and fs.exists(old):  # a writer died between two renames
+        path = f"{path}.old"
     found = FactSet({n: spark.read.parquet(f"{path}/{n}") for n in (names or COLUMNS)})
     if strict:
         for n in found:
