@@ -125,7 +125,7 @@ class Lanes:
             every, inverse = np.unique(keys[new], return_inverse=True)
             if self.pairs.size + len(every) > PAIR_LIMIT:
                 self.pairs = IntTable(PAIR_LIMIT.bit_length())
-            told = np.array([self.codec.stable(self.names[k >> 24], self.names[k & 0xFFFFFF]) for k in every.tolist()], np.int32)
+            told = np.array([self.codec.judged(self.names[k >> 24], self.names[k & 0xFFFFFF]) for k in every.tolist()], np.int32)
             if len(every) <= PAIR_LIMIT:
                 self.pairs.put(every, told)
             found[new] = told[inverse]
@@ -269,14 +269,17 @@ class PieceCodec:
         """Whether merging a + b gives a, b again."""
         found = self.stable_pairs.get((a, b))
         if found is None:
-            regular = self.regular
-            easy = (len(a) == 1 or a in regular) and (len(b) == 1 or b in regular)
-            found = self.apart(a, b) if easy else self.merge(a + b) == [a, b]
+            found = self.judged(a, b)
             if len(self.stable_pairs) >= PAIR_LIMIT:
                 self.stable_pairs.clear()
             self.stable_pairs[a, b] = found
         return found
 
+    def judged(self, a: str, b: str) -> bool:
+        regular = self.regular
+        easy = (len(a) == 1 or a in regular) and (len(b) == 1 or b in regular)
+        return self.apart(a, b) if easy else self.merge(a + b) == [a, b]
+
     def apart(self, a: str, b: str) -> bool:
         """Undoes the latest merge on either side of the cut until single characters face each other.
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, load, map_rows
+from .common import fold, load, map_rows, trim
 
 SAMPLE_PER_CLASS = 2500
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 12, 8, (1, 2, 3)
@@ -194,7 +194,8 @@ def train(texts: list, labels: list[int], seed: int = 7) -> dict:
     vocabulary = Vocabulary()
     found = [vocabulary.indexes(t) for t in texts]
     languages = [vocabulary.language(i) for i in found]
-    docs = [vocabulary.rows[i] for i in found]
+    docs, every_row = [i.astype(np.int32) for i in found], vocabulary.rows[: len(vocabulary.memo)].copy()
+    del found
     vocabulary.clear()
     held = np.array([zlib.crc32(f"calibrate:{n}".encode()) % 5 == 0 for n in range(len(docs))])
     if len(set(y[~held])) < 2:
@@ -219,7 +220,7 @@ def train(texts: list, labels: list[int], seed: int = 7) -> dict:
             starts, places, total = laid_out(lengths)
             vectors, rows = np.zeros((total, WIDTH), np.float32), np.full((total, 1 + len(PREFIXES)), -1, np.int64)
             if len(places):
-                rows[places] = np.concatenate([docs[n] for n in batch])
+                rows[places] = every_row[np.concatenate([docs[n] for n in batch])]
                 vectors[places] = embed(table, rows[places])
             hidden, where = pooled(model, vectors, starts, lengths)
             z = np.einsum("nspf,spf->n", hidden, out) + model["base"]
@@ -251,7 +252,7 @@ def train(texts: list, labels: list[int], seed: int = 7) -> dict:
                     np.add.at(sums, inverse[:, c], pull)
                 step("table", table, sums, every)
     tested = np.flatnonzero(held) if held.any() else learn
-    scores = np.concatenate([raw_scores(model, [docs[n] for n in tested[i : i + BATCH]]) for i in range(0, len(tested), BATCH)])
+    scores = np.concatenate([raw_scores(model, [every_row[docs[n]] for n in tested[i : i + BATCH]]) for i in range(0, len(tested), BATCH)])
     calibrate(model, [(float(p), languages[n], int(y[n])) for p, n in zip(scores, tested, strict=True)])
     return model
 
@@ -298,7 +299,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     small = spark.createDataFrame([(k,) for k in chosen], f"k {docs.schema[key].dataType.simpleString()}")
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(small), "k").groupBy("k").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: r.k)
-    return train([r.t for r in rows], [chosen[r.k] for r in rows])
+    model = train([r.t for r in rows], [chosen[r.k] for r in rows])
+    rows.clear()
+    trim()  # the driver keeps the model only
+    return model
 
 
 _shared: dict = {}
