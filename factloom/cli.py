@@ -1,4 +1,4 @@
-"""Command line over a folder of facts: python -m factloom.cli FACTS calls|callgraph|callchain|diagnostics|sql ..."""
+"""Command line over a folder of facts: python -m factloom.cli FACTS calls|callgraph|callchain|dataflow|slice|sequence|diagnostics|sql|merge ..."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import graph, relational, render
-from factloom.sources.facts import read_facts
+from factloom.operators import dataflow, graph, relational, render, sequence
+from factloom.sources.facts import COLUMNS, read_facts
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +32,21 @@ def parser() -> argparse.ArgumentParser:
     q = sub.add_parser("diagnostics")
     for name in ("--stage", "--severity", "--file"):
         q.add_argument(name)
+    q = sub.add_parser("dataflow", help="what the value of a variable flows into, or from")
+    q.add_argument("name")
+    q.add_argument("--depth", type=int, default=3)
+    q.add_argument("--up", action="store_true")
+    q.add_argument("--format", choices=("text", "json", "dot", "mermaid"), default="text")
+    q = sub.add_parser("slice", help="where the value of a variable comes from, and where that goes")
+    q.add_argument("name")
+    q.add_argument("--format", choices=("text", "json"), default="text")
+    q = sub.add_parser("sequence", help="calls of a function body in order")
+    q.add_argument("cfg", type=int, help="the graph's id")
+    q.add_argument("--first", type=int)
+    q.add_argument("--last", type=int)
+    q.add_argument("--format", choices=("text", "json"), default="text")
+    q = sub.add_parser("merge", help="merges folders of facts into FACTS")
+    q.add_argument("inputs", nargs="+")
     sub.add_parser("sql").add_argument("text", help="SQL over the relations as views")
     return p
 
@@ -40,10 +55,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     """Runs one query; the text it prints is returned, too."""
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("factloom").getOrCreate()
-    names = {"diagnostics": ["files", "diagnostics"], "sql": None}.get(a.query, ["files", "functions", "call_sites", "call_edges"])
+    if a.query == "merge":
+        return merge(spark, a.facts, a.inputs)
+    flow = ["functions", "variables", "flow_nodes", "flow_edges"]
+    names = {"diagnostics": ["files", "diagnostics"], "sql": None, "dataflow": flow, "slice": flow, "sequence": ["cfg_events", "cfg_edges"]}.get(a.query, ["files", "functions", "call_sites", "call_edges"])
     if names is None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(a.facts)
-        names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory()]
+        names = relations_in(spark, a.facts)
     facts = read_facts(spark, a.facts, names, strict=a.query != "sql")
     if a.query == "calls":
         out = table(relational.calls(facts, a.from_, a.to, a.file, a.exclude_deps))
@@ -52,6 +69,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     elif a.query == "sql":
         facts.views(spark)
         out = table(spark.sql(a.text))
+    elif a.query == "dataflow":
+        starts = relational.flow_nodes_of(facts, facts["variables"].where(F.col("name") == a.name))
+        found = render.Drawing(graph.dataflow_graph(facts, starts, a.depth, not a.up), relational.node_labels(facts))
+        title = f"values {'into' if a.up else 'out of'} {a.name}"
+        out = {"text": lambda: found.text(title), "json": found.json, "dot": lambda: found.graphviz(title), "mermaid": lambda: found.mermaid(title)}[a.format]()
+    elif a.query == "slice":
+        starts = relational.flow_nodes_of(facts, facts["variables"].where(F.col("name") == a.name))
+        out = render.slice_text(dataflow.value_slice(facts["flow_edges"], starts), relational.node_labels(facts), a.name, a.format)
+    elif a.query == "sequence":
+        events, edges = facts["cfg_events"].where(F.col("cfg_id") == a.cfg), facts["cfg_edges"].where(F.col("cfg_id") == a.cfg)
+        relations = sequence.event_relations(events, edges)
+        out = render.sequence_text(sequence.scope_events(events, relations, a.cfg, a.first, a.last), events, relations, a.format)
     elif a.query == "callgraph":
         found = render.Drawing(graph.call_graph(facts, relational.resolve_function(facts, a.function), a.depth, not a.up), relational.function_labels(facts))
         title = f"{'callers' if a.up else 'callees'} of {a.function}"
@@ -64,6 +93,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     return out
 
 
+def relations_in(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory()]
+
+
+def merge(spark: SparkSession, out: str, inputs: list[str]) -> str:
+    """Merges folders of facts and writes the result; tells the relations' sizes and the warnings."""
+    from factloom.operators.export import write_facts
+    from factloom.operators.merging import merge_facts
+
+    found = merge_facts([read_facts(spark, i, [n for n in relations_in(spark, i) if n in COLUMNS or n == "link_facts"], strict=False) for i in inputs])
+    write_facts(found.facts, out)
+    lines = [f"{name}\t{df.count()}" for name, df in sorted(found.facts.items())]
+    lines += [f"{r.severity}: {r.message}" for r in found.warnings.orderBy("kind", "message").limit(10_000).collect()]
+    text = "\n".join(lines)
+    print(text)
+    return text
+
+
 def table(df, limit: int = 10_000) -> str:
     """Tab-separated lines of at most so many rows."""
     rows = df.limit(limit).collect()

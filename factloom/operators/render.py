@@ -68,3 +68,32 @@ def chain_lines(chains: DataFrame, labels: DataFrame, limit: int = 10_000) -> li
     wanted = sorted({n for r in rows for n in r.nodes})
     names = {r.id: r.label for r in labels.where(labels.id.isin(wanted)).collect()} if wanted else {}
     return [" -> ".join(names.get(n, f"node{n}") for n in r.nodes) for r in rows]
+
+
+def slice_text(nodes: DataFrame, labels: DataFrame, title: str, form: str = "text", limit: int = 10_000) -> str:
+    """A value slice (id, side) as text or JSON: sources first, then what lies on both sides, then where values go."""
+    named = nodes.join(labels.select("id", "label", "detail"), "id", "left").limit(limit + 1).collect()
+    sides = ("up", "both", "down")
+    rows = sorted((sides.index(r.side), r.id, r.label or f"node{r.id}", r.detail or "") for r in named[:limit])
+    cut = len(named) > limit
+    if form == "json":
+        return json.dumps({"start": title, "nodes": [{"id": n, "side": sides[s], "label": text, "detail": d} for s, n, text, d in rows], "truncated": cut}, ensure_ascii=False)
+    heads = ("comes from", "comes from and goes to", "goes to")
+    lines = [f"slice of {title}"]
+    for s, head in enumerate(heads):
+        own = [r for r in rows if r[0] == s]
+        lines += [f"{head}:"] * bool(own) + [f"  {text}" + (f" ({d})" if d else "") for _, _, text, d in own]
+    return "\n".join([*lines, *["(truncated)"] * cut, f"{len(rows)} nodes"])
+
+
+def sequence_text(scope: DataFrame, events: DataFrame, relations: DataFrame, form: str = "text", limit: int = 200) -> str:
+    """The events of a scope by block and place, with how each relates to the others in it (K15); at most limit events."""
+    rows = events.join(scope, "event", "left_semi").orderBy("block", "ordinal", "event").limit(limit + 1).collect()
+    shown = [r.event for r in rows[:limit]]
+    pairs = relations.where(relations.a.isin(shown) & relations.b.isin(shown)).orderBy("a", "b").collect() if shown else []
+    cut = len(rows) > limit
+    if form == "json":
+        body = {"events": [{"event": r.event, "block": r.block, "ordinal": r.ordinal} for r in rows[:limit]], "relations": [{"a": p.a, "b": p.b, "relation": p.relation} for p in pairs], "truncated": cut}
+        return json.dumps(body)
+    lines = [f"block {r.block}.{r.ordinal}: event {r.event}" for r in rows[:limit]] + [f"{p.a} {p.relation} {p.b}" for p in pairs]
+    return "\n".join([*lines, *["(truncated)"] * cut, f"{len(shown)} events"])

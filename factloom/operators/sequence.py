@@ -179,3 +179,43 @@ def between(relations: DataFrame, cfg_id: int, first: int, last: int) -> DataFra
     later = own.where((F.col("a") == first) & F.col("relation").isin(*ahead)).select(F.col("b").alias("event")).union(own.where((F.col("b") == first) & F.col("relation").isin(*behind)).select(F.col("a").alias("event")))
     earlier = own.where((F.col("b") == last) & F.col("relation").isin(*ahead)).select(F.col("a").alias("event")).union(own.where((F.col("a") == last) & F.col("relation").isin(*behind)).select(F.col("b").alias("event")))
     return later.intersect(earlier).distinct()
+
+
+def event_targets(events: DataFrame, event_sites: DataFrame, call_edges: DataFrame, functions: DataFrame) -> DataFrame:
+    """Rows cfg_id, event, callee_fn_id, name, resolution, is_defined, is_dep: what each event may call."""
+    e = call_edges.where("call_site_id is not null").select("call_site_id", "callee_fn_id", "resolution")
+    f = functions.select(F.col("id").alias("callee_fn_id"), "name", "is_defined", "is_dep")
+    rows = events.select("cfg_id", "event").join(event_sites.select("event", "call_site_id"), "event").join(e, "call_site_id").join(f, "callee_fn_id")
+    return rows.select("cfg_id", "event", "callee_fn_id", "name", "resolution", "is_defined", "is_dep").distinct()
+
+
+def variants_in(graphs: DataFrame, blocks: DataFrame, files: DataFrame, text: str) -> DataFrame:
+    """Graphs (cfg_id, fn_id, variant) compiled from, or with a block written in, a file whose path holds the text.
+
+    graphs: cfg_id, fn_id, tu_file_id, variant; blocks: cfg_id, file_id. Case of A-Z doesn't count.
+    """
+    from factloom.operators.relational import contains_ascii_folded
+
+    held = files.where(contains_ascii_folded(F.col("path"), text)).select(F.col("id").alias("file_id"))
+    own = graphs.select("cfg_id", F.col("tu_file_id").alias("file_id")).join(held, "file_id", "left_semi").select("cfg_id")
+    inside = blocks.join(held, "file_id", "left_semi").select("cfg_id")
+    return graphs.join(own.unionByName(inside).distinct(), "cfg_id", "left_semi").select("cfg_id", "fn_id", "variant")
+
+
+def scope_events(events: DataFrame, relations: DataFrame, cfg_id: int, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Events of a graph in a scope (Q30): all of the function, those that may run from first on, up to last, or between both; ends are in it."""
+    own = events.where(F.col("cfg_id") == cfg_id).select("event")
+    ahead, behind = ("sequenced_before", "guaranteed_before", "may_precede", "may_both", "unordered"), ("may_follow", "may_both", "unordered")
+    r = relations.where(F.col("cfg_id") == cfg_id)
+
+    def side(event: int, later: bool) -> DataFrame:
+        x, y = (ahead, behind) if later else (behind, ahead)
+        of_a = r.where((F.col("a") == event) & F.col("relation").isin(*x)).select(F.col("b").alias("event"))
+        of_b = r.where((F.col("b") == event) & F.col("relation").isin(*y)).select(F.col("a").alias("event"))
+        return of_a.unionByName(of_b).unionByName(own.where(F.col("event") == event)).distinct()
+
+    if first is not None:
+        own = own.join(side(first, True), "event", "left_semi")
+    if last is not None:
+        own = own.join(side(last, False), "event", "left_semi")
+    return own

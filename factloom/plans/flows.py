@@ -161,3 +161,40 @@ def q21(f):
 )
 def q22(f):
     return _crossing(f, _contexts(f))
+
+
+ADAPTER["cfg_event_sites"] = "select event_id event, event_id * 8 + 1 + event_id % 7 call_site_id from {events}"
+ADAPTER["cfg_functions"] = "select user_id cfg_id, user_id % 50 fn_id, min(event_id) % 25 tu_file_id, cast(floor(user_id / 50) as bigint) variant from {events} group by user_id"
+ADAPTER["cfg_blocks"] = "select user_id cfg_id, event_id % 7 block, min(event_id) % 25 file_id from {events} group by user_id, event_id % 7"
+
+
+@facts_query(
+    "j9_event_targets",
+    """SELECT DISTINCT v.cfg_id, v.event, e.callee_fn_id, f.name, e.resolution, f.is_defined, f.is_dep FROM cfg_events v JOIN cfg_event_sites s ON s.event = v.event
+    JOIN call_edges e ON e.call_site_id = s.call_site_id JOIN functions f ON f.id = e.callee_fn_id""",
+    "cfg_events", "cfg_event_sites", "call_edges", "functions",
+)
+def j9(f):
+    return Q.event_targets(f["cfg_events"], f["cfg_event_sites"], f["call_edges"], f["functions"])
+
+
+@facts_query(
+    "j10_variants_in_file",
+    """SELECT g.cfg_id, g.fn_id, g.variant FROM cfg_functions g LEFT JOIN files t ON t.id = g.tu_file_id WHERE contains(t.path, 'nation_1')
+    OR EXISTS (SELECT 1 FROM cfg_blocks b JOIN files x ON x.id = b.file_id WHERE b.cfg_id = g.cfg_id AND contains(x.path, 'nation_1'))""",
+    "cfg_functions", "cfg_blocks", "files",
+)
+def j10(f):
+    return Q.variants_in(f["cfg_functions"], f["cfg_blocks"], f["files"], "NATION_1")
+
+
+@facts_query(
+    "q30_events_from",
+    f"""WITH {_REACH}, {_RELATE}, r AS (SELECT * FROM rel WHERE cfg_id = 20), c AS (SELECT min(event) AS e FROM cfg_events WHERE cfg_id = 20)
+    SELECT e AS event FROM c UNION SELECT b FROM r, c WHERE a = e AND relation IN ('sequenced_before', 'guaranteed_before', 'may_precede', 'may_both', 'unordered')
+    UNION SELECT a FROM r, c WHERE b = e AND relation IN ('may_follow', 'may_both', 'unordered')""",
+    *CFG, recursive=True,
+)
+def q30(f):
+    first = f["cfg_events"].where("cfg_id = 20").agg(F.min("event")).first()[0]
+    return Q.scope_events(f["cfg_events"], _relations(f), 20, first=first)

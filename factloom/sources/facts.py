@@ -43,6 +43,9 @@ class FactSet(Mapping[str, DataFrame]):
             raise MissingFacts(f"no relation {name}; there are {', '.join(sorted(self._relations)) or 'none'}")
         return self._relations[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in set(self)
+
     def __iter__(self):
         return iter(self._relations)
 
@@ -133,15 +136,40 @@ ADAPTER = {
 BASE = "region nation customer supplier part orders lineitem events".split()
 
 
+class AdaptedFacts(FactSet):
+    """The relations of ADAPTER over a folder of the driver's tables; each is planned when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__({})
+        self._spark, self._sf_dir = spark, sf_dir
+
+    def _made(self, name: str) -> DataFrame:
+        if name not in self._relations:
+            if name in BASE:
+                self._relations[name] = self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+            else:
+                text = ADAPTER[name]
+                self._relations[name] = self._spark.sql(text, **{t: self._made(t) for t in (*BASE, *ADAPTER) if "{" + t + "}" in text})
+        return self._relations[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in ADAPTER or name == "raw_sites":
+            raise MissingFacts(f"no relation {name}; there are {', '.join(sorted(self))}")
+        return self._made(name)
+
+    def __iter__(self):
+        return (n for n in ADAPTER if n != "raw_sites")
+
+    def __len__(self) -> int:
+        return len(ADAPTER) - 1
+
+    def with_relation(self, name: str, df: DataFrame) -> FactSet:
+        return FactSet({**dict(self), name: df})
+
+
 def adapt(spark: SparkSession, sf_dir: str) -> FactSet:
     """The facts that ADAPTER makes of the driver's tables, lazily."""
-    made: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
-    out = {}
-    for name, text in ADAPTER.items():
-        made[name] = spark.sql(text, **{t: made[t] for t in made if "{" + t + "}" in text})
-        if name != "raw_sites":
-            out[name] = made[name]
-    return FactSet(out)
+    return AdaptedFacts(spark, sf_dir)
 
 
 def with_facts(select: str, *names: str, recursive: bool = False) -> str:
