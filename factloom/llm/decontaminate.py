@@ -84,8 +84,8 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that contain no item; rows and columns otherwise as they were."""
     hit = materialize(contained(docs, items, key, text).select("doc_id").distinct())
-    n = hit.count()
-    return docs.join(_hinted(hit.withColumnRenamed("doc_id", "__hit"), n), F.col(f"`{key}`") == F.col("__hit"), "left_anti")
+    n, hit = hit.count(), hit.withColumnRenamed("doc_id", "__hit")
+    return docs.join(_hinted(hit, n), F.col(f"`{key}`") == hit["__hit"], "left_anti")
 
 
 def op5_decontamination(spark, sf_dir):

@@ -389,14 +389,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     copies = rows.join(first, "root").where("doc_id <> __kept").select("doc_id")
     out, n = cut_counted(copies.unionByName(repeated).distinct().withColumnRenamed("doc_id", "__out"))
     number = F.col(f"`{key}`").cast("long")
-    kept = docs.join(F.broadcast(out) if n <= BROADCAST_ROWS else out, number == F.col("__out"), "left_anti")
+    kept = docs.join(F.broadcast(out) if n <= BROADCAST_ROWS else out, number == out["__out"], "left_anti")
     if not several:
         return kept
     chosen = first.select("__kept", "__set").unionByName(rows.where("root is null").select(F.col("doc_id").alias("__kept"), F.col("sid").alias("__set")).distinct())
-    own = docs.join(repeated.withColumnRenamed("doc_id", "__many"), number == F.col("__many"), "left_semi")
-    own = _with_sets(own, text).withColumn("__id", number)
-    own = own.join(materialize(chosen), (F.col("__id") == F.col("__kept")) & F.col("__sid").eqNullSafe(F.col("__set")), "left_semi")
-    least = own.groupBy("__id", "__sid").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("m")).select("m.*")
+    many = repeated.withColumnRenamed("doc_id", "__many")
+    own = docs.join(many, number == many["__many"], "left_semi")
+    packed = own.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("m"), number.alias("__id"), F.col(f"`{text}`").alias("text"))
+    packed = _with_sets(packed, "text").join(materialize(chosen), (F.col("__id") == F.col("__kept")) & F.col("__sid").eqNullSafe(F.col("__set")), "left_semi")
+    least = packed.groupBy("__id", "__sid").agg(F.min("m").alias("m")).select("m.*")
     return kept.unionByName(least)
 
 

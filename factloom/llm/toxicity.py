@@ -18,11 +18,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, load, map_rows, trim
+from .common import bound_batches, claim, fold, load, map_rows, trim
 
+OWNER = __name__
 SAMPLE_PER_CLASS = 2500
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 17, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7)
@@ -357,6 +359,19 @@ def tag(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     return map_rows(docs, names, f"{schema}, __toxic int", lambda *columns: [*columns, [int(s >= DECISION) for s, _ in _scored(sent.value, columns[at])]])
 
 
+def accepted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The rows that the classifier doesn't reject, their columns as they are, whatever their names; repeated rows stay repeated."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        claim(OWNER)
+        for b in batches:
+            yield b.filter(pa.array([s < DECISION for s, _ in _scored(sent.value, b.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
