@@ -3,12 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame
 that is written as Parquet and reread as the next stage's docs. All but the last keep the columns of
 documents; the last returns the piece ids. Counted as part of factloom.llm.
+
+Empty tables give empty tables; null and empty texts and null ids pass all filters; a row that occurs again with its id and text
+is one document and stays once (ngram_jaccard); further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, jaccard, pii, sentencepieces, toxicity
 from factloom.llm.common import load, materialize
@@ -16,10 +18,7 @@ from factloom.llm.common import load, materialize
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier, trained on the labelled ones, doesn't reject; null ids stay in."""
-    model = toxicity.fit_toxicity(docs, load(spark, sf_dir, "labels"))
-    names = docs.columns
-    tagged = toxicity.tag(docs, model)
-    return tagged.where("__toxic = 0").select(*[F.col(f"`{c}`") for c in names])
+    return toxicity.accepted(docs, toxicity.fit_toxicity(docs, load(spark, sf_dir, "labels")))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
