@@ -52,8 +52,13 @@ def claim(module: str) -> None:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system, where the platform can."""
+    """Collects garbage and gives freed memory back to the system."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives freed memory back to the system, where the platform can. Cheap: called at the end of a task, so that idle workers are small."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -77,6 +82,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[..., l
             if batch.num_rows:
                 out = fn(*(c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+                del out
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, fields)
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, bound_batches, claim, cut_counted, discard, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
+from .common import ASCII_LOWER, WordHashes, bound_batches, claim, cut_counted, discard, give_back, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
 from .components import connected_components
 from .exchange import bucket_bits, bucket_parts, frozen, pack_counts, pack_sorted, requests, settled, state_of, total_counts, unpack_counts, unpack_sorted
 
@@ -112,6 +112,7 @@ def scan_sets(docs: DataFrame, bits: int) -> DataFrame:
                 rows.append((None, None, None, number, -1, None, None, state))
                 rows += [(None, None, None, *r, None) for r in requests(number, keys, counts, bits)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, sid binary, batch long, bucket int, keys binary, counts binary, state binary")
 
@@ -148,6 +149,7 @@ def scan_shared(sets: DataFrame, bits: int) -> DataFrame:
             number = batch_number(counter)
             rows = [(number, -1, None, None, state), *((*r, None) for r in requests(number, keys, counts, bits))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+        give_back()
 
     return sets.mapInArrow(run, "batch long, bucket int, keys binary, counts binary, state binary")
 
@@ -345,6 +347,7 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
             made = ((sid, shingle_set(t)) for sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             rows = [(sid, s.tobytes()) for sid, s in made if len(s) and set_id(s) == sid]  # one id may stand by several texts
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sid", "shared"])
+        give_back()
 
     picked = rows.join(F.broadcast(chosen) if few else chosen, "doc_id").select("sid", "text")
     sets = materialize(picked.mapInArrow(whole, "sid binary, shared binary"))

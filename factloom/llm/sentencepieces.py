@@ -37,7 +37,7 @@ SPACE = "▁"
 #: Words that a generation of the memo holds at most, and the longest of them; pairs whose stability is remembered at most.
 MEMO_LIMIT, MEMO_CHARS, PAIR_LIMIT = 60_000, 24, 1 << 18
 #: A lane's window, in longest pieces; characters of text whose new stretches are searched together, and of a block.
-WINDOW, SLICE, BLOCK = 2, 1 << 20, 1 << 18
+WINDOW, SLICE, BLOCK = 2, 1 << 19, 1 << 18
 #: A chunk ends before a run of word marks; no piece holds a mark after another character (checked on loading).
 CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
 COMMIT_EVERY = 8

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, claim, fold, load, map_rows, trim
+from .common import bound_batches, claim, fold, give_back, load, map_rows, trim
 
 OWNER = __name__
 SAMPLE_PER_CLASS = 2500
@@ -368,6 +368,7 @@ def accepted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         claim(OWNER)
         for b in batches:
             yield b.filter(pa.array([s < DECISION for s, _ in _scored(sent.value, b.column(at).to_pylist())], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
