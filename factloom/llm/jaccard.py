@@ -8,11 +8,13 @@ of a group:
 2. What is left counts all its shingles; a set that shares fewer than three quarters goes. Shingles are
    ordered by frequency, then hash, and only a set's first size - T + 1 are keys: linked sets share one.
 3. Sets meet the smallest set of their keys (that of most keys), in blocks of bounded size. Every link is found by
-   a search of the block's inverted index: short lists are merged by a heap, long ones probed by bisection, sets
+   a search of the block's inverted index: short lists are merged, long ones probed by bisection, sets
    that reach the needed overlap are joined. The block's first set searches first, then those it left apart.
 4. Keys whose sets lie in different components are searched again in full: families of sets that such keys
    connect at once if they are small, else in pairs of bounded pieces (the largest families key by key); pieces
-   of one component skip each other.
+   of one component skip each other. A set counts at a key only if, were the key the first that it shares with
+   another set, enough would be left of it for the key's smallest set: sets that differ from a large group in
+   too many places to link with it drop out there, and don't meet it piece by piece.
 
 Null and empty texts have no shingles and link with nothing; texts of any length are read whole; with
 fewer than five words the whole sequence is the one shingle; repeated rows are equal sets, each gets its
@@ -21,10 +23,6 @@ row; null ids stay null; empty tables give no rows; other columns are ignored, w
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -181,7 +179,7 @@ class InvertedIndex:
     MU = 0.02
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.sizes = sizes
+        self.sizes = np.asarray(sizes, np.int64)
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         #: The lists, one behind the other by token; each ascends.
@@ -204,27 +202,23 @@ class InvertedIndex:
             return []
         longest = lists[-1][1] - lists[-1][0]
         skipped = min(least - 1, len(lists), int(least / (self.MU * np.log2(longest + 1) + 1)))
-        short = [self.owner[a:b].tolist() for a, b in lists[: len(lists) - skipped]]
-        bounds, long = lists[len(lists) - skipped :][::-1], [None] * skipped
-        out = []
-        for i, run in groupby(heapq.merge(*short)):
-            if not wanted(i):
-                continue
-            count = sum(1 for _ in run)
-            if count < least - skipped:
-                continue
-            t = overlap_needed(size, self.sizes[i])
-            for left in range(skipped):
-                if count >= t or count + skipped - left < t:
-                    break
-                found = long[left]
-                if found is None:
-                    found = long[left] = self.owner[bounds[left][0] : bounds[left][1]].tolist()
-                p = bisect_left(found, i)
-                count += p < len(found) and found[p] == i
-            if count >= t:
-                out.append(i)
-        return out
+        short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :][::-1]
+        merged = np.sort(np.concatenate([self.owner[a:b] for a, b in short]), kind="stable")
+        starts = np.flatnonzero(np.diff(merged, prepend=-1))
+        counts = np.diff(np.append(starts, len(merged)))
+        enough = counts >= least - skipped
+        found, counts = merged[starts[enough]], counts[enough]
+        chosen = np.fromiter((wanted(i) for i in found.tolist()), bool, len(found))
+        found, counts = found[chosen], counts[chosen]
+        t = overlap_needed(size, self.sizes[found])
+        for left, (a, b) in zip(range(skipped, 0, -1), long, strict=True):
+            open_ = np.flatnonzero((counts < t) & (counts + left >= t))  # neither settled nor out of reach
+            if not len(open_):
+                break
+            owners = self.owner[a:b]
+            at = np.minimum(np.searchsorted(owners, found[open_]), len(owners) - 1)
+            counts[open_] += owners[at] == found[open_]
+        return found[counts >= t].tolist()
 
 
 def join_block(sids: list, sizes: list[int], sets: list[np.ndarray], groups: list) -> list[tuple]:
@@ -274,9 +268,21 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def keyed_sets(cand: DataFrame) -> DataFrame:
+    """A row for each key of a set: sid, token, n, and reach, the largest set that can link if this is the first key that both share."""
+    keys = cand.select("sid", "n", F.length("shared").alias("bytes"), F.posexplode("keys").alias("at", "token"))
+    return keys.select("sid", "token", "n", F.expr(f"(bytes div 8 - at) * {100 + PERCENT} div {PERCENT} - n").alias("reach"))
+
+
+def within_reach(keys: DataFrame) -> DataFrame:
+    """The rows of keyed_sets whose reach holds a set of the same key; two linked sets both stay at the first key that they share."""
+    smallest = keys.groupBy("token").agg(F.min("n").alias("smallest"), F.count("*").alias("k")).where("k > 1").select("token", "smallest")
+    return keys.join(smallest, "token").where("reach >= smallest").select("sid", "token")
+
+
 def similar_sets(cand: DataFrame) -> DataFrame:
     """Edges (a, b) between sets that connect every two linked ones; cand has sid, n, shared, keys."""
-    keys = cand.select("sid", F.explode("keys").alias("token"))
+    keys = keyed_sets(cand)
     lowest = keys.groupBy("token").agg(F.min("sid").alias("first_sid"), F.max("sid").alias("last")).where("first_sid <> last").select("token", "first_sid")
     # Each set meets the one first set that it shares most keys with; what that leaves apart is searched below.
     shared_keys = keys.join(lowest, "token").where("sid <> first_sid").groupBy("sid", "first_sid").agg(F.count("*").alias("k"))
@@ -290,7 +296,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
 
     # Keys whose sets still lie in different components.
     roots = connected_components(near)
-    owned = keys.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("group"))
+    owned = within_reach(keys).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("group"))
     owned = materialize(owned)
     lists = owned.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"), F.min("sid").alias("first_sid"))
     lists = materialize(lists.where("low <> high").groupBy("size", "mark").agg(F.min(F.struct("token", "first_sid")).alias("m")).select("size", "m.token", "m.first_sid"))
