@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +67,32 @@ def give_back() -> None:
         pass
 
 
+def relieve_driver(spark: SparkSession) -> str:
+    """The driver's garbage is collected and freed memory goes back to the system, in Python and in its JVM; the JVM's answer, if any.
+
+    Called between the steps of an operator of many jobs: their plans, broadcasts and native buffers would pile up otherwise.
+    """
+    trim()
+    jvm = spark._jvm
+    jvm.System.gc()
+
+    def array(kind, *values):
+        out = spark.sparkContext._gateway.new_array(kind, len(values))
+        for k, v in enumerate(values):
+            out[k] = v
+        return out
+
+    try:  # by reflection: the server's own class is closed to callers
+        named, objects, strings = jvm.java.lang.Class.forName, array(jvm.Object), array(jvm.String)
+        kinds = array(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(invoke.invoke(server, array(jvm.Object, commands, "systemTrimNativeHeap", objects, strings)))
+    except Py4JError:  # a JVM without that command
+        return ""
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, fn: Callable[..., list]) -> DataFrame:
     """Runs fn(list per column) -> list per output column over Arrow batches of the named columns."""
     bound_batches(df.sparkSession)

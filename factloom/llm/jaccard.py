@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, bound_batches, claim, cut_counted, discard, give_back, input_parts, load, materialize, ngram_hashes, text_bytes, word_hashes
+from .common import ASCII_LOWER, WordHashes, bound_batches, claim, cut_counted, discard, give_back, input_parts, load, materialize, ngram_hashes, relieve_driver, text_bytes, word_hashes
 from .components import connected_components
 from .exchange import bucket_bits, bucket_parts, frozen, pack_counts, pack_sorted, requests, settled, state_of, total_counts, unpack_counts, unpack_sorted
 
@@ -296,6 +296,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
 
     # Keys whose sets still lie in different components.
     roots = connected_components(near)
+    relieve_driver(cand.sparkSession)
     owned = within_reach(keys).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", F.coalesce("root", "sid").alias("group"))
     owned = materialize(owned)
     lists = owned.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.min("group").alias("low"), F.max("group").alias("high"), F.min("sid").alias("first_sid"))
@@ -308,6 +309,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     rows = small.join(sets, "sid").join(roots.select(F.col("node").alias("sid"), F.col("root").alias("own")), "sid", "left")
     rows = rows.select("sid", "n", "shared", F.coalesce("own", "sid").alias("group"), F.lit(False).alias("first"), "root")
     within = materialize(rows.groupBy("root").applyInArrow(_search, "a long, b long"))
+    relieve_driver(cand.sparkSession)
     mine = roots.select(F.col("node").alias("sid"), F.col("root").alias("own"))
     middle = kin.where(F.col("members").between(FAMILY + 1, WIDE)).join(mine, "sid", "left").select(F.col("root").alias("token"), "sid", F.coalesce("own", "sid").alias("group"))
     open_ = middle.unionByName(open_sets.join(kin.where(F.col("members") > WIDE).select("sid"), "sid", "left_semi").select("token", "sid", "group"))
@@ -326,6 +328,7 @@ def similar_sets(cand: DataFrame) -> DataFrame:
     right = placed.withColumnRenamed("piece", "piece2").join(pairs.where("piece <> piece2"), ["token", "piece2"]).select("token", "piece", "piece2", "sid", "group")
     rows = left.unionByName(right).withColumn("first", F.lit(False)).join(sets, "sid")
     rest = materialize(rows.groupBy("token", "piece", "piece2").applyInArrow(_search, "a long, b long"))
+    relieve_driver(cand.sparkSession)
     return near.unionByName(within).unionByName(rest)
 
 
@@ -336,6 +339,8 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of jaccard_groups with sid, the id of the text's set (null: no words), and root, the least of its component."""
+    spark = docs.sparkSession
+    relieve_driver(spark)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bits = bucket_bits(input_parts(rows))
     scan = materialize(scan_sets(rows, bits))
@@ -346,6 +351,7 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     chosen, size = cut_counted(lowest.join(likely.distinct(), "sid", "left_semi").where("doc_id is not null"))
     few = size <= BROADCAST_ROWS
     discard(scan)
+    relieve_driver(spark)
 
     def whole(batches):
         claim(OWNER)
@@ -359,10 +365,12 @@ def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
     sets = materialize(picked.mapInArrow(whole, "sid binary, shared binary"))
     shared = materialize(scan_shared(sets.dropDuplicates(["sid"]), bits))
     discard(sets)
+    relieve_driver(spark)
     answers = total_counts(shared.where("bucket >= 0").select("batch", "bucket", "keys", "counts"))
     # Sets that may link get numbers of their own, which are fixed by being written; the search knows them by these.
     cand = materialize(told(shared.where("bucket = -1"), answers, _keyed, "sid binary, n long, shared binary, keys array<long>").withColumn("number", F.monotonically_increasing_id()))
     discard(shared)
+    relieve_driver(spark)
     roots = connected_components(similar_sets(cand.select(F.col("number").alias("sid"), "n", "shared", "keys")))
 
     numbers = cand.select(F.col("number").alias("node"), "sid").join(roots, "node")
