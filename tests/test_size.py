@@ -4,7 +4,10 @@ from collections import Counter
 
 import pytest
 
-from factloom.operators import blocks
+from factloom.operators import blocks, models
+from factloom.operators import dataflow as D
+from factloom.operators import merge as M
+from factloom.operators import relational as R
 from factloom.operators import solver as S
 
 
@@ -37,3 +40,42 @@ def test_direct_edges_are_not_shuffled(spark, short_blocks):
     rows = [tuple(r) for r in got.select("call_site_id", "callee", "resolution").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert "Exchange" not in above_lists(got) and "Aggregate" not in above_lists(got)
+
+
+def test_relinked_edges_are_not_shuffled(spark, short_blocks):
+    edges = [(i, f"f{i % 4}", f"s{i % 3}", [1, 2, None][i % 3], ["external", "indirect"][i % 2]) for i in range(24)]
+    defs = [(i, f"f{i % 3}", f"s{i % 2}", [1, 3, None, 2, 1][i % 5], i % 4 // 3, f"o{i % 6}") for i in range(60)]
+    got = M.relink(spark.createDataFrame(edges, "edge_id long, name string, signature string, target_id long, resolution string"), spark.createDataFrame(defs, "def_id long, name string, signature string, target_id long, is_weak int, origin string"))
+    want = []
+    for edge, name, sig, target, kind in edges:
+        seen = [d for d in defs if d[1] == name]
+        for good in (lambda d: d[2] == sig, lambda d: d[3] == target is not None, lambda d: d[4] == 0):
+            seen = [d for d in seen if good(d)] or seen
+        of = kind if not seen or kind == "indirect" else "direct" if len({d[5] for d in seen}) == 1 else "ambiguous"
+        want += [(edge, d[0], of) for d in seen] or [(edge, None, of)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "Aggregate" not in above_lists(got) and "Window" not in above_lists(got)
+
+
+def test_contexts_of_a_place_are_listed_once(spark):
+    nodes = [(i, i % 3) for i in range(30)] + [(0, 1), (0, 1), (1, None), (99, None), (98, 7)]
+    sets = [(0, 5), (0, 12), (1, 5), (1, 3), (2, 8)]
+    got = D.cross_context(spark.createDataFrame(nodes, "node long, fn long"), spark.createDataFrame(sets, "fn long, context long"), spark.createDataFrame([(8,), (8,)], "id long"))
+    by = {n: sorted({c for m, f in nodes if m == n for g, c in sets if g == f}) for n in {n for n, _ in nodes}}
+    assert sorted(map(tuple, got.collect())) == sorted((n, ",".join(map(str, c)), len(c) > 1 or 8 in c) for n, c in by.items() if c)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan  # nodes only meet lists that are made
+
+
+def test_bridges_and_twins_are_not_shuffled(spark, short_blocks):
+    names = [(i, f"ns::A{i % 2}{['Proxy', 'Stub', 'Client'][i % 3]}::{'On' if i % 6 == 1 else ''}M{i % 2}", 1) for i in range(60)]
+    functions = spark.createDataFrame(names + names[:7], "id long, name string, is_defined int")
+    got = models.ipc_bridges(functions, functions.select("id"))
+    want = {(i, j) for i, a, _ in names for j, b, _ in names if i % 3 != 1 and j % 3 == 1 and i % 2 == j % 2}
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert "Exchange" not in above_lists(got) and "Aggregate" not in above_lists(got)
+    rows = [(i, "param" if i % 3 else "local", [1, 2, None][i % 5 % 3], f"v{i % 2}") for i in range(50)]
+    twins = R.parameter_twins({"variables": spark.createDataFrame(rows, "id long, kind string, fn_id long, name string")})
+    own = [r for r in rows if r[1] == "param" and r[2] is not None]
+    assert Counter(map(tuple, twins.collect())) == Counter((a[0], b[0]) for a in own for b in own if a[2:] == b[2:] and a[0] != b[0])
+    assert "Exchange" not in above_lists(twins)
