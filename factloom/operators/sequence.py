@@ -5,13 +5,25 @@ Relations: sequenced_before, guaranteed_before, may_precede, may_follow, may_bot
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RELATIONS = "sequenced_before guaranteed_before may_precede may_follow may_both exclusive unordered unknown".split()
 
 
+#: Events of a graph that one row holds at most, and pairs that a worker holds at once, about.
+SLICE, PAIRS = 256, 1 << 18
+CODE = {r: i for i, r in enumerate(RELATIONS)}
+
+
+def _fields(events: pa.ListScalar) -> list[np.ndarray]:
+    """event, block, ordinal of a list of events."""
+    return [events.values.field(c).to_numpy(zero_copy_only=False).astype("int64") for c in ("event", "block", "ordinal")]
+
+
 class Flow:
     """One graph: successor lists, what each block reaches by at least one edge, and what dominates it."""
 
@@ -98,20 +110,37 @@ def event_relations(events: DataFrame, edges: DataFrame, unmodeled: DataFrame |
     rows = _packed(events, edges)
     hidden = unmodeled.groupBy("cfg_id").agg(F.collect_set("event").alias("hidden")) if unmodeled is not None else None
     rows = rows.join(hidden, "cfg_id", "left") if hidden is not None else rows.withColumn("hidden", F.array().cast("array<long>"))
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for cfg, own, flow, gaps in zip(frame.cfg_id, frame.events, frame.edges, frame.hidden, strict=True):
-                graph = Flow([(x["src"], x["dst"]) for x in flow] if flow is not None else [])
-                gaps = set(gaps) if gaps is not None else set()
-                for i, a in enumerate(own):
-                    for b in own[i + 1 :]:
-                        kind = "unknown" if a["event"] in gaps or b["event"] in gaps else graph.relate((a["block"], a["ordinal"]), (b["block"], b["ordinal"]))
-                        out.append((cfg, a["event"], b["event"], kind))
-            yield pd.DataFrame(out, columns=["cfg_id", "a", "b", "relation"]).astype({"cfg_id": "int64", "a": "int64", "b": "int64"})
-
-    return rows.mapInPandas(run, "cfg_id long, a long, b long, relation string")
+    # a large graph is many rows: events by slices, each with itself and each later one
+    slices = F.sequence(F.lit(0), F.expr(f"cast((size(events) - 1) div {SLICE} as int)"))
+    at = lambda i: F.slice("events", F.col(i) * SLICE + 1, F.lit(SLICE))
+    rows = rows.withColumn("i", F.explode(slices)).withColumn("j", F.explode(F.filter(slices, lambda j: j >= F.col("i"))))
+    rows = rows.select("cfg_id", "edges", "hidden", at("i").alias("events"), F.when(F.col("i") != F.col("j"), at("j")).alias("later"))
+    kinds = pa.array(RELATIONS)
+
+    def run(batches):
+        for batch in batches:
+            for cfg, flow, gaps, own, later in zip(*(batch.column(c) for c in ("cfg_id", "edges", "hidden", "events", "later")), strict=True):
+                graph = Flow([(x["src"], x["dst"]) for x in flow.as_py() or ()])
+                gone = np.array(gaps.as_py() or (), dtype="int64")
+                a = _fields(own)
+                b = _fields(later) if later.is_valid else a
+                blocks, where = np.unique(np.concatenate([a[1], b[1]]), return_inverse=True)
+                table = np.array([[CODE[graph.relate((int(x), 0), (int(y), 0))] for y in blocks] for x in blocks], dtype="int8").reshape(len(blocks), len(blocks))
+                wa, wb = where[: len(a[1])], where[len(a[1]) :]
+                lost_a, lost_b = np.isin(a[0], gone), np.isin(b[0], gone)
+                step = max(1, PAIRS // max(1, len(b[0])))
+                for lo in range(0, len(a[0]), step):
+                    x, y = np.arange(lo, min(lo + step, len(a[0]))), np.arange(len(b[0]))
+                    x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+                    if not later.is_valid:
+                        x, y = x[x < y], y[x < y]
+                    code = table[wa[x], wb[y]]
+                    tied = (wa[x] == wb[y]) & (code == CODE["unordered"])
+                    code = np.where(tied & (a[2][x] < b[2][y]), CODE["sequenced_before"], np.where(tied & (a[2][x] > b[2][y]), CODE["may_follow"], code))
+                    code = np.where(lost_a[x] | lost_b[y], CODE["unknown"], code)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), cfg.as_py(), dtype="int64")), pa.array(a[0][x]), pa.array(b[0][y]), kinds.take(pa.array(code))], ["cfg_id", "a", "b", "relation"])
+
+    return rows.mapInArrow(run, "cfg_id long, a long, b long, relation string")
 
 
 def dominator_pairs(edges: DataFrame) -> DataFrame:
@@ -128,15 +157,20 @@ def dominator_pairs(edges: DataFrame) -> DataFrame:
 
 def combined(relations: DataFrame, by: list[str]) -> DataFrame:
     """One relation for several variants or callers: the strongest claim that all allow (Q28)."""
-    r = F.collect_set("relation")
-    sets = relations.groupBy(*by).agg(r.alias("r"))
-    has = lambda *names: F.arrays_overlap("r", F.array(*[F.lit(n) for n in names]))
-    proofs = F.size(F.array_except("r", F.array(F.lit("sequenced_before"), F.lit("guaranteed_before")))) == 0
+    bit = F.lit(0)
+    for name, code in CODE.items():
+        bit = F.when(F.col("relation") == name, 1 << code).otherwise(bit)
+    sets = relations.groupBy(*by).agg(F.bit_or(bit).alias("r"))
+    mask = lambda *names: sum(1 << CODE[n] for n in names)
+    has = lambda *names: F.col("r").bitwiseAND(mask(*names)) != 0
+    proofs = ~has(*(n for n in RELATIONS if n not in ("sequenced_before", "guaranteed_before")))
     precede, follow = has("sequenced_before", "guaranteed_before", "may_precede", "may_both", "unordered"), has("may_follow", "may_both", "unordered")
-    kind = (
-        F.when(F.size("r") == 1, F.element_at("r", 1)).when(has("unknown"), "unknown").when(proofs, "guaranteed_before")
-        .when(precede & follow, "may_both").when(precede, "may_precede").when(follow, "may_follow").otherwise("exclusive")
-    )
+    kind = F.lit(None).cast("string")
+    for name, code in CODE.items():
+        kind = F.when(F.col("r") == 1 << code, name).otherwise(kind)
+    kind = F.coalesce(
+        kind, F.when(has("unknown"), "unknown").when(proofs, "guaranteed_before").when(precede & follow, "may_both").when(precede, "may_precede").when(follow, "may_follow").otherwise("exclusive")
+    )
     return sets.select(*by, kind.alias("relation"))
 
 

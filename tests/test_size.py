@@ -8,6 +8,7 @@ from factloom.operators import blocks, models
 from factloom.operators import dataflow as D
 from factloom.operators import merge as M
 from factloom.operators import relational as R
+from factloom.operators import sequence as Q
 from factloom.operators import solver as S
 
 
@@ -79,3 +80,38 @@ def test_bridges_and_twins_are_not_shuffled(spark, short_blocks):
     own = [r for r in rows if r[1] == "param" and r[2] is not None]
     assert Counter(map(tuple, twins.collect())) == Counter((a[0], b[0]) for a in own for b in own if a[2:] == b[2:] and a[0] != b[0])
     assert "Exchange" not in above_lists(twins)
+
+
+def test_pairs_of_events_leave_a_worker_piecewise(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SLICE", 4)
+    monkeypatch.setattr(Q, "PAIRS", 16)
+    events = [(g, 100 * g + i * 7 % 30, i * 5 % 7, i % 3) for g in range(3) for i in range(30 if g else 1)] + [(9, 1, 0, 0), (9, 2, 0, 0)]
+    edges = [(g, a, (a * 3 + g) % 7) for g in range(3) for a in range(7)]
+    gaps = [(1, 107), (2, 200)]
+    frame = spark.createDataFrame(events, "cfg_id long, event long, block long, ordinal long")
+    got = Q.event_relations(frame, spark.createDataFrame(edges, "cfg_id long, src long, dst long"), spark.createDataFrame(gaps, "cfg_id long, event long"))
+    want = []
+    for g in {e[0] for e in events}:
+        own, flow = sorted(e[1:] for e in events if e[0] == g), Q.Flow([e[1:] for e in edges if e[0] == g])
+        want += [(g, a[0], b[0], "unknown" if {(g, a[0]), (g, b[0])} & set(gaps) else flow.relate(a[1:], b[1:])) for i, a in enumerate(own) for b in own[i + 1 :]]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "i#" in plan  # slices, not whole graphs
+
+
+def test_combined_keeps_no_sets(spark):
+    relations = [(k, r) for k in range(256) for i, r in enumerate(Q.RELATIONS) if k >> i & 1]
+    got = Q.combined(spark.createDataFrame(relations * 2, "k long, relation string"), ["k"])
+    precede, follow = {"sequenced_before", "guaranteed_before", "may_precede", "may_both", "unordered"}, {"may_follow", "may_both", "unordered"}
+
+    def of(r: set) -> str:
+        if len(r) == 1:
+            return min(r)
+        if "unknown" in r:
+            return "unknown"
+        if r <= {"sequenced_before", "guaranteed_before"}:
+            return "guaranteed_before"
+        return ("may_both" if r & follow else "may_precede") if r & precede else "may_follow" if r & follow else "exclusive"
+
+    assert sorted(map(tuple, got.collect())) == [(k, of({r for q, r in relations if q == k})) for k in range(1, 256)]
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
