@@ -197,4 +197,5 @@ def j10(f):
 )
 def q30(f):
     first = f["cfg_events"].where("cfg_id = 20").agg(F.min("event")).first()[0]
-    return Q.scope_events(f["cfg_events"], _relations(f), 20, first=first)
+    own = Q.event_relations(f["cfg_events"].where("cfg_id = 20"), f["cfg_edges"].where("cfg_id = 20"))
+    return Q.scope_events(f["cfg_events"], own, 20, first=first)
