@@ -252,7 +252,15 @@ def innermost(ranges: DataFrame, places: DataFrame) -> DataFrame:
     strictly inside it; twins with equal lines own nothing.
     """
     places = places.select("file_id", "line").distinct()
-    held = places.join(ranges.select("id", "file_id", "line_start", "line_end"), "file_id").where("line between line_start and line_end")
+    # a range lies in at most two cells of the least width 2^level that holds it, so places look into one cell of each level
+    spans = ranges.select("id", "file_id", "line_start", "line_end").where("line_start <= line_end")
+    spans = spans.withColumn("level", F.ceil(F.log2(F.col("line_end") - F.col("line_start") + 1)).cast("int"))
+    cell = lambda line, level: F.floor(F.col(line) / F.pow(F.lit(2.0), level)).cast("long")
+    cells = F.array_distinct(F.array(cell("line_start", F.col("level")), cell("line_end", F.col("level"))))
+    spans = spans.withColumn("cell", F.explode(cells))
+    levels = F.broadcast(spans.select("level").distinct())  # as many as a line's number has bits at most
+    at = places.crossJoin(levels).withColumn("cell", cell("line", F.col("level")))
+    held = at.join(spans, ["file_id", "level", "cell"]).where("line between line_start and line_end").drop("level", "cell")
     by = W.partitionBy("file_id", "line")
     order = by.orderBy(F.col("line_start").desc(), "line_end", "id")
     rows = held.select("*", F.row_number().over(order).alias("rn"), F.count("*").over(by).alias("k"), F.min("line_end").over(by).alias("least_end"), F.count("*").over(W.partitionBy("file_id", "line", "line_start", "line_end")).alias("twins"))
