@@ -115,3 +115,17 @@ def test_combined_keeps_no_sets(spark):
 
     assert sorted(map(tuple, got.collect())) == [(k, of({r for q, r in relations if q == k})) for k in range(1, 256)]
     assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_meet_ranges_near_them_only(spark):
+    spans = [(i, i % 2, 4 * i + 1, 4 * i + 1 + (i % 9 if i % 50 else 3000)) for i in range(300)] + [(900, 0, -5, 7), (901, 0, 9, 8), (902, 1, 64, 64), (903, 1, 64, 64), (904, None, 1, 9)]
+    ranges = spark.createDataFrame(spans, "id long, file_id long, line_start long, line_end long")
+    lines = [(f, n) for f in (0, 1, 2, None) for n in (*range(-6, 90), 600, 1199, 4100, None)]
+    got = R.innermost(ranges, spark.createDataFrame(lines * 2, "file_id long, line long"))
+    want = []
+    for f, n in lines:
+        held = [s for s in spans if n is not None and f is not None and s[1] == f and s[2] <= n <= s[3]]
+        best = [s for s in held if len(held) == 1 or s[2] < n < s[3] and all(o[2] <= s[2] and o[3] >= s[3] and o[2:] != s[2:] for o in held if o[0] != s[0])]
+        want.append((f, n, best[0][0] if best else None))
+    assert Counter(map(tuple, got.select("file_id", "line", "owner").collect())) == Counter(want)
+    assert R.innermost(ranges, spark.createDataFrame(lines, "file_id long, line long"))._jdf.queryExecution().optimizedPlan().toString().count("cell#") > 2
