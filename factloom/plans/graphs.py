@@ -99,7 +99,7 @@ def q10_edges(f):
     *EDGES, recursive=True,
 )
 def q32(f):
-    full = G.neighbourhood(_edges(f).join(f["call_edges"].select("id", "resolution", "call_site_id"), "id").drop("id").distinct(), f["functions"].where(f"id = {ROOT}"), DEPTH)
+    full = G.neighbourhood(f["call_edges"].select(F.col("caller_fn_id").alias("a"), F.col("callee_fn_id").alias("b"), "resolution", "call_site_id"), f["functions"].where(f"id = {ROOT}"), DEPTH)
     return G.filter_graph(full, f["functions"].select("id", "name"), f["functions"].where(f"id = {ROOT}").select("id"), ["[02468]$"]).edges
 
 

@@ -6,6 +6,8 @@ import pytest
 
 from factloom.operators import blocks, models
 from factloom.operators import dataflow as D
+from factloom.operators import graph as G
+from factloom.operators import loop
 from factloom.operators import merge as M
 from factloom.operators import relational as R
 from factloom.operators import sequence as Q
@@ -129,3 +131,32 @@ def test_places_meet_ranges_near_them_only(spark):
         want.append((f, n, best[0][0] if best else None))
     assert Counter(map(tuple, got.select("file_id", "line", "owner").collect())) == Counter(want)
     assert R.innermost(ranges, spark.createDataFrame(lines, "file_id long, line long"))._jdf.queryExecution().optimizedPlan().toString().count("cell#") > 2
+
+
+def test_edges_are_made_once_for_all_rounds(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        made.add(1)
+        yield from batches
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").coalesce(1)
+    edges = chain.mapInArrow(read, "a long, b long")
+    root = spark.createDataFrame([(0,)], "id long")
+    assert sorted(r.id for r in G.reachable(edges, root).collect()) == list(range(13)) and made.value == 1
+    made.value = 0
+    found = G.neighbourhood(edges, root, 5)
+    assert sorted(map(tuple, found.nodes.collect())) == [(i, i) for i in range(6)] and found.truncated.first()[0] and found.edges.count() == 5 and made.value == 1
+    made.value = 0
+    got = D.visible_neighbourhood(edges, root, spark.createDataFrame([(2,), (3,), (7,)], "id long"), 3)
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3)] and made.value == 1
+    made.value = 0
+    got = D.collapse_hidden(edges.selectExpr("a", "b", "concat('o', a % 3) operation"), spark.createDataFrame([(i,) for i in range(2, 9)], "id long"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "o0"), (1, 9, "o0,o1,o2"), (9, 10, "o0"), (10, 11, "o1"), (11, 12, "o2")] and made.value == 1
+
+
+def test_few_new_rows_do_not_shuffle_the_known(spark, monkeypatch):
+    monkeypatch.setattr(loop, "BROADCAST_ROWS", 3)
+    known = loop.cut(spark.range(100).selectExpr("id a", "id % 7 b"))
+    got = loop.unknown(spark.createDataFrame([(5, 5), (5, 6), (200, 1)], "a long, b long"), known, 100, ["a", "b"], True)
+    assert sorted(map(tuple, got.collect())) == [(5, 6), (200, 1)] and "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
