@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import reachable, strong_components
-from factloom.operators.loop import cut, hinted
+from factloom.operators.loop import cut, grow, grow_behind, hinted
 
 #: Characters of lists of contexts that are broadcast at most.
 BROADCAST_TEXT = 32 << 20
@@ -17,45 +17,46 @@ def visible_neighbourhood(edges: DataFrame, starts: DataFrame, hidden: DataFrame
 
     aliases (a, b, both directions): the same thing under two ids, at no cost. Levels are least costs.
     """
-    e = edges.select("a", "b").distinct()
-    free = starts.select("id").unionByName(hidden.select("id")).distinct().withColumn("free", F.lit(True))
-    known = cut(starts.select("id", F.lit(0).alias("level")).distinct())
-    delta = known
-    while True:
-        n = delta.count()
+    free = starts.select("id").unionByName(hidden.select("id")).distinct().select(F.col("id").alias("a"), F.lit(True).alias("free"))
+    e = cut(edges.select("a", "b").distinct().join(free, "a", "left").select("a", "b", F.col("free").isNotNull().alias("free")))
+    onward = lambda rows, free: rows.select("id").join(e.where(F.col("free") == free), F.col("id") == F.col("a")).select(F.col("b").alias("id"))
+
+    def passing(delta, _, __):
+        found = onward(delta, True)
+        return found.unionByName(delta.select("id").join(aliases, F.col("id") == F.col("a")).select(F.col("b").alias("id"))) if aliases is not None else found
+
+    known, total = None, 0
+    rows, n = starts.select("id"), 0
+    for level in range(depth + 1):  # a level is complete before the next begins, so no node is met at a worse one
+        own, _, n = grow_behind(rows, passing, ["id"], before=(known, total) if known is not None else None)
         if not n:
-            return known
-        delta = hinted(delta, n)
-        onward = delta.join(free, "id", "left").select("id", (F.col("level") + F.when(F.col("free").isNull(), 1).otherwise(0)).alias("level")).where(F.col("level") <= depth)
-        found = onward.join(e, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "level")
-        if aliases is not None:
-            found = found.unionByName(delta.join(aliases, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "level"))
-        best = found.groupBy("id").agg(F.min("level").alias("new"))
-        rows = cut(known.join(best, "id", "full").select("id", F.least("level", "new").alias("level"), (F.col("level").isNull() | (F.col("new") < F.col("level"))).alias("better")))
-        known, delta = rows.select("id", "level"), rows.where("better").select("id", "level")
+            break
+        own, known, total = hinted(own, n), own.withColumn("level", F.lit(level)) if known is None else known.unionByName(own.withColumn("level", F.lit(level))), total + n
+        rows = onward(own, False)
+    return known if known is not None else starts.select("id", F.lit(0).alias("level"))
 
 
 def collapse_hidden(edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """Edges a, b, operations between visible nodes: paths through hidden ones become one edge with all operations on any of them (Q12).
 
-    edges: a, b, operation. Each (origin, hidden node) state grows its operation set until nothing is new; paths are
-    never listed.
+    edges: a, b, operation. What hidden nodes lead to is found once, for all visible nodes before them; paths are never listed.
     """
-    base = cut(edges.groupBy("a", "b").agg(F.sort_array(F.collect_set("operation")).alias("ops")))
     h = hidden.select("id").distinct()
-    from_hidden = cut(base.join(h.withColumnRenamed("id", "a"), "a", "left_semi"))
-    states = cut(base.join(h.withColumnRenamed("id", "a"), "a", "left_anti"))
-    delta = states
-    while True:
-        into = delta.join(h.withColumnRenamed("id", "b"), "b", "left_semi")
-        onward = into.select("a", F.col("b").alias("mid"), F.col("ops").alias("ops1")).join(from_hidden.select(F.col("a").alias("mid"), "b", F.col("ops").alias("ops2")), "mid")
-        new = onward.select("a", "b", F.explode(F.array_union("ops1", "ops2")).alias("op")).groupBy("a", "b").agg(F.sort_array(F.collect_set("op")).alias("more"))
-        merged = states.join(new, ["a", "b"], "full").select("a", "b", F.sort_array(F.array_union(F.coalesce("ops", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))).alias("ops"), F.size("ops").alias("had"))
-        merged = cut(merged)
-        delta = merged.where("had is null or had < size(ops)").select("a", "b", "ops")
-        states = merged.select("a", "b", "ops")
-        if delta.isEmpty():
-            return states.join(h.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b", F.array_join("ops", ",").alias("operations"))
+    mark = lambda side, out: h.select(F.col("id").alias(side), F.lit(True).alias(out))
+    e = edges.select("a", "b", F.col("operation").alias("op")).distinct().join(mark("b", "hb"), "b", "left").join(mark("a", "ha"), "a", "left")
+    e = cut(e.select("a", "b", "op", F.col("ha").isNotNull().alias("ha"), F.col("hb").isNotNull().alias("hb")))
+    part = lambda ha, hb: e.where((F.col("ha") == ha) & (F.col("hb") == hb)).select("a", "b", "op")
+
+    def after(rows: DataFrame, tails: DataFrame) -> DataFrame:
+        """rows (a, b, op) led on by tails from b: the pair has the operations of both."""
+        t = tails.select(F.col("a").alias("b"), F.col("b").alias("to"), F.col("op").alias("op2"))
+        return rows.join(t, "b").select("a", F.col("to").alias("b"), F.explode(F.array_distinct(F.array("op", "op2"))).alias("op"))
+
+    inner, out = cut(part(True, True)), part(True, False)
+    reach, _ = grow(inner, lambda delta, _, __: after(delta, inner), ["a", "b", "op"])
+    ends = cut(out.unionByName(after(reach, out)).distinct())
+    rows = part(False, False).unionByName(after(part(False, True), ends))
+    return rows.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("op")), ",").alias("operations"))
 
 
 def edge_role(kind: Column) -> Column:
@@ -98,9 +99,7 @@ def context_sets(contexts: DataFrame, calls: DataFrame, functions: DataFrame) ->
 
     contexts: id, entry; calls: a, b; functions: id.
     """
-    from factloom.operators.loop import grow
-
-    e = calls.select("a", "b").distinct()
+    e = cut(calls.select("a", "b").distinct())
     started, _ = grow(contexts.select(F.col("entry").alias("fn"), F.col("id").alias("context")), lambda d, _, __: d.join(e, F.col("fn") == F.col("a")).select(F.col("b").alias("fn"), "context"), ["fn", "context"])
     comp = strong_components(e)
     inside = e.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
