@@ -12,6 +12,7 @@ from factloom.operators import merge as M
 from factloom.operators import relational as R
 from factloom.operators import sequence as Q
 from factloom.operators import solver as S
+from factloom.sources import facts
 
 
 def above_lists(df) -> str:
@@ -160,3 +161,15 @@ def test_few_new_rows_do_not_shuffle_the_known(spark, monkeypatch):
     known = loop.cut(spark.range(100).selectExpr("id a", "id % 7 b"))
     got = loop.unknown(spark.createDataFrame([(5, 5), (5, 6), (200, 1)], "a long, b long"), known, 100, ["a", "b"], True)
     assert sorted(map(tuple, got.collect())) == [(5, 6), (200, 1)] and "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    monkeypatch.setattr(facts, "BYTES_A_PART", 100_000)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    small = facts.adapt(spark, "/root/testdata/sf0.001")
+    small["call_edges"]
+    few = int(spark.conf.get(key))
+    large = facts.adapt(spark, "/root/testdata/sf0.1")
+    large["call_edges"]
+    assert few < 10 and 100 < int(spark.conf.get(key)) < 130
+    spark.conf.unset(key)
